@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "curriculum", "decontaminate", "token_store")
+MODULES = ("exact_dedup", "curriculum", "decontaminate", "token_store", "langid")
 
 
 def _collect(name: str) -> dict:
