@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "curriculum", "decontaminate", "token_store", "langid", "license_scan", "substring_dedup", "quotes", "near_dedup")
+MODULES = ("exact_dedup", "curriculum", "decontaminate", "token_store", "langid", "license_scan", "substring_dedup", "quotes", "near_dedup", "lm_score")
 
 
 def _collect(name: str) -> dict:
