@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("attribute_queries",)
+
+
+def _collect(name: str) -> dict:
+    out: dict = {}
+    for module in MODULES:
+        out |= getattr(import_module(f"cadastra.plans.{module}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _collect("QUERIES")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _collect("ORACLES")
