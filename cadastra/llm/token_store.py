@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -35,20 +36,48 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: A chunk ends where the low bits of the rolling hash are 0; it has at least MIN_IDS ids and at most MAX_IDS.
 MASK, MIN_IDS, MAX_IDS = np.uint32(0xFF << 20), 64, 2048
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
+#: Marks that end words, and letters that have no other form under normalisation and fold one to one.
+MARKS = b".,;:!?"
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MERKLE_BLOCK = 1024
 _RECIPE = np.dtype([("digest", "V16"), ("ids", "<u4")])
 
 
+def byte_letters() -> str:
+    """The character that byte-level vocabularies write for each byte: printable ones stand for themselves, others come after 255."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    odd = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(odd)) for b in range(256))
+
+
 class WordMemo(dict):
-    """Words a worker has encoded; starts anew when full."""
+    """word -> packed ids, encoded once while there is room."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        bare = word.rstrip(MARKS)
+        if bare and len(bare) < len(word) and self.encoder.letters(bare):
+            packed = self[bare] + self[word[len(bare) :]]
+        else:
+            packed = self.encoder.word(word)
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = packed
+        return packed
 
 
 class Encoder:
     """Whole texts to packed ids.
 
     A tokenizer that drops white space encodes a text as its words one after another, so each distinct word is
-    encoded once and remembered; others encode whole texts.
+    encoded once and remembered; others encode whole texts. Where the tokenizer also folds case and keeps
+    letters and marks apart, words are folded first, marks at a word's end are encoded by themselves, and
+    Latin words, on which its normalisation and splitting do nothing more, go straight to its merge model.
+    Which of these hold is tried on probes.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int | None):
@@ -58,24 +87,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else np.dtype("<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
-        self.memo = WordMemo()
+        self.memo = WordMemo(self)
+        self.table = byte_letters()
         probe = ["Ab", "c's,", "é.", "x1"]
         self.by_word = self._ids([" ".join(probe), " \n".join(probe)]) == [b"".join(self._ids(probe))] * 2
+        latin = ["a", "the", "ABC", "Thandble", "éÀöß", "ñandú", "zzqx", "Straße"]
+        self.direct = (
+            self.by_word
+            and self._ids([w + "., !?" for w in latin]) == [a + b"".join(self._ids([".,", "!?"])) for a in self._ids(latin)]
+            and [self._merge(w) for w in latin] == self._ids(latin)
+        )
 
     def _ids(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
+    def _merge(self, word: str) -> bytes:
+        spelled = word.lower().encode().decode("latin-1").translate(self.table)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+
+    def letters(self, word: bytes) -> bool:
+        return self.direct and (word.isascii() and word.isalpha() or LATIN.fullmatch(word.decode()) is not None)
+
+    def word(self, word: bytes) -> bytes:
+        return self._merge(word.decode()) if self.letters(word) else self._ids([word.decode()])[0]
+
     def encode(self, raws: list[bytes | None]) -> list[bytes]:
         if not self.by_word:
             return [x + self.end for x in self._ids([(raw or b"").decode() for raw in raws])]
-        split = [(raw or b"").split() for raw in raws]
-        new = list(set().union(*split) - self.memo.keys())
-        if new:
-            if len(self.memo) + len(new) > MEMO_WORDS:
-                self.memo.clear()
-                new = list(set().union(*split))
-            self.memo.update(zip(new, self._ids([w.decode() for w in new])))
         get = self.memo.__getitem__
+        # special tokens are found before case is folded
+        split = ((raw.lower() if self.direct and b"<|" not in raw else raw).split() if raw else () for raw in raws)
         return [b"".join(map(get, w)) + self.end for w in split]
 
 

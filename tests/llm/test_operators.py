@@ -174,7 +174,7 @@ def test_encoder_matches_whole_texts():
 
     vocabulary = token_store.tokenizer_file()
     encoder, plain = token_store.Encoder(vocabulary, None), Tokenizer.from_str(vocabulary)
-    assert encoder.by_word
+    assert encoder.by_word and encoder.direct
     odd = ["", " ", "İstanbul ǅ", "á b c d\x1cE", "<|endoftext|> x<|startoftext|>y", "don't we'LL 12.5", "é" * 50, "漢字 かな　z"]
     for text, packed in zip(odd, encoder.encode([t.encode() for t in odd])):
         assert np.frombuffer(packed, encoder.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
