@@ -81,7 +81,7 @@ def write_geopackage(df: DataFrame, path: str, layer: str, geometry: str = "geom
 
 
 def observed_count(spark: SparkSession, df: DataFrame, name: str):
-    """(df, observation): counts rows while they are written, without a further pass."""
+    """(df, observation): counts rows while they are written, without a further pass; a range partitioning above would run it twice."""
     from pyspark.sql import Observation
     from pyspark.sql import functions as F
 

@@ -30,7 +30,7 @@ def parquet(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame
     df = spark.read.parquet(path)
     if not numbered:
         return df
-    return df.withColumn("_pid", F.xxhash64("_metadata.file_path").bitwiseXOR(F.col("_metadata.row_index") * F.lit(0x9E3779B97F4A7C1).cast("long")))
+    return df.withColumn("_pid", F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")))
 
 
 def anonymous_s3(spark: SparkSession) -> None:
@@ -231,7 +231,7 @@ def sheet_rows(path: str, sheet: int = 1, limit: int | None = None) -> list[tupl
 
 def newest_release(names: list[str]) -> str | None:
     """Of `YYYY-MM-DD.N` the latest, N compared as a number."""
-    parts = [(m[1], int(m[2]), n) for n in names if (m := re.fullmatch(r"(\d{4}-\d{2}-\d{2})\.(\d+)", n.strip("/")))]
+    parts = [(m[1], int(m[2]), n.strip("/")) for n in names if (m := re.fullmatch(r"(\d{4}-\d{2}-\d{2})\.(\d+)", n.strip("/")))]
     return max(parts)[2] if parts else None
 
 
