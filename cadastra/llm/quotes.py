@@ -3,8 +3,9 @@
 Quote marks at the start of lines give each line a level; lines of one level in a row are a passage. Quoted
 passages and their lines are normalised and hashed, and joined to the message of the same conversation that
 first said them. The message with the most quoted words, before the quoting one, is what it replies to;
-without a match that is the turn before. Threads are ordered by their first message, messages in a thread by
-turn, so each message follows the one it replies to, and texts lose their quotes and attribution lines.
+without a match that is the turn before. Quotation links make threads, a message without one begins its own.
+Threads are ordered by their first message, messages in a thread by turn, so each message follows the one it
+replies to, and texts lose their quotes and attribution lines.
 
 Main path: DataFrame functions only. A conversation is never gathered in one row or window: origins are one
 aggregated row per hash, the turn before comes from windows over blocks of BLOCK_TURNS turns and one over the
@@ -92,21 +93,29 @@ def turn_before(turns: DataFrame) -> DataFrame:
     return out.select("conv", "turn", F.coalesce("before", "end").alias("before"))
 
 
-def thread_roots(parents: DataFrame) -> DataFrame:
-    """(conv, turn, parent) -> root, depth; a root has a null parent. Parents are earlier turns, so there are no cycles."""
-    at = F.coalesce(F.col("parent"), F.col("turn"))
-    now = stage(parents.select("conv", "turn", at.alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "threads")
-    while True:
+def thread_roots(links: DataFrame) -> DataFrame:
+    """(conv, turn, parent) of linked messages -> conv, turn, root, depth.
+
+    Parents are earlier turns, so there are no cycles. Each round doubles the steps taken; only linked messages
+    take part, and a round without a move ends it.
+    """
+    now = stage(links.select("conv", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "threads")
+    while not now.isEmpty():
         up = now.select("conv", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        step = now.join(up.hint("merge"), ["conv", "root"]).select(
-            "conv", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")
+        step = now.join(up.hint("merge"), ["conv", "root"], "left").select(
+            "conv",
+            "turn",
+            F.coalesce("next", "root").alias("root"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.col("next").isNotNull().alias("moved"),
         )
         step = stage(step, "threads")
         unstage(now)
         now = step.select("conv", "turn", "root", "depth")
         now._staged_path = step._staged_path
         if step.where("moved").isEmpty():
-            return now
+            break
+    return now
 
 
 def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -124,7 +133,10 @@ def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col:
     parents = turn_before(turns).join(best, ["conv", "turn"], "left")
     parents = parents.withColumn("parent", F.coalesce("quoted_turn", "before")).withColumn("linked", F.col("quoted_turn").isNotNull())
     parents = stage(parents.select("conv", "turn", "parent", "linked"), "parents")
-    placed = stage(parents.join(thread_roots(parents), ["conv", "turn"]), "placed")
+    roots = thread_roots(parents.where("linked").select("conv", "turn", "parent"))
+    placed = parents.join(roots.hint("merge"), ["conv", "turn"], "left")
+    placed = placed.withColumn("root", F.coalesce("root", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
+    placed = stage(placed, "placed")
     out = parsed(rows, "__text").join(placed.hint("merge"), ["conv", "turn"], "left")
     role = F.coalesce(F.col("role"), F.lit("unknown"))
     return out.select(

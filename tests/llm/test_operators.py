@@ -301,16 +301,19 @@ def test_quotes(spark):
     assert got == [
         (None, None, "a > b", None, False, None, None),
         (1, 0, "How do I cook rice?\nTell me please", None, False, 0, 0),
-        (1, 1, "Boil it for ten minutes.", 0, False, 0, 1),
         (1, 2, "I also ask", 0, True, 0, 1),
-        (1, 3, "", 1, True, 0, 2),
-        (1, 3, "Yes", 1, True, 0, 2),
+        (1, 1, "Boil it for ten minutes.", 0, False, 1, 0),
+        (1, 3, "", 1, True, 1, 1),
+        (1, 3, "Yes", 1, True, 1, 1),
         (2, 5, "", None, False, 5, 0),
-        (2, 9, "hm", 5, False, 5, 1),
+        (2, 9, "hm", 5, False, 9, 0),
     ]
-    long = spark.createDataFrame([(1, k * 3, "user", "x") for k in range(2500)], "conv_id long, turn int, role string, text string")
-    last = quotes.link_conversations(long).where("turn = 7497").first()
-    assert (last.reply_to, last.root, last.depth) == (7494, 0, 2499)
+    schema = "conv_id long, turn int, role string, text string"
+    apart = spark.createDataFrame([(1, k * 3, "user", "x") for k in range(2500)], schema)
+    last = quotes.link_conversations(apart).where("turn = 7497").first()
+    assert (last.reply_to, last.root, last.depth) == (7494, 7497, 0)
+    chain = spark.createDataFrame([(1, k, "user", f"> message number {k - 1}\nmessage number {k}") for k in range(40)], schema)
+    assert [(r.turn, r.text, r.reply_to, r.root, r.depth) for r in quotes.link_conversations(chain).collect()] == [(k, f"message number {k}", k - 1 if k else None, 0, k) for k in range(40)]
     assert quotes.link_conversations(m.limit(0)).count() == 0
 
 
@@ -379,7 +382,7 @@ def test_lm_scores(spark, corpus):
         if zlib.crc32(str(i).encode()) % 5 != 1:
             counts.update([*lm_score.tokens((t or "").encode()), lm_score.END])
     n, v = sum(counts.values()), len(counts)
-    for head in (10, 100_000):
+    for head in (0, 20, 100_000):
         got = sorted(lm_score.score_texts(docs, training, head=head, classes=16).collect(), key=lambda r: r.doc_id)
         assert len(got) == len(corpus)
         for r, (i, t, *_) in zip(got, sorted(corpus, key=lambda r: r[0])):
