@@ -351,7 +351,7 @@ def tiers(spark, sf_dir):
 SIDES_SQL = f"""{BOXES_SQL}, sa AS (
   SELECT k AS bid, CASE WHEN k % 101 = 0 THEN NULL WHEN k % 103 = 0 THEN (k - 1)::VARCHAR ELSE k::VARCHAR END AS key, x0 + w / 2.0 AS mx, y0 + h / 2.0 AS my, (w * h)::DOUBLE AS area, x0 || ' ' || y0 || ' ' || w || ' ' || h AS gh, (c % 40)::DOUBLE AS h, price, c % 5 AS cat FROM b WHERE k % 10 <> 0
 ), sb AS (
-  SELECT k + 1000000 AS bid, CASE WHEN k % 101 = 0 THEN NULL ELSE k::VARCHAR END AS key, x0 + w / 2.0 + CASE WHEN k % 13 = 0 THEN 12 WHEN k % 13 = 1 THEN 0.5 WHEN k % 13 = 2 THEN 4 ELSE 0 END AS mx, y0 + h / 2.0 AS my,
+  SELECT k + 1000000 AS bid, CASE WHEN k % 101 = 0 THEN NULL WHEN k % 37 = 0 THEN 'n' || k ELSE k::VARCHAR END AS key, x0 + w / 2.0 + CASE WHEN k % 13 = 0 THEN 12 WHEN k % 13 = 1 THEN 0.5 WHEN k % 13 = 2 THEN 4 ELSE 0 END AS mx, y0 + h / 2.0 AS my,
     (w * h * CASE WHEN k % 17 = 0 THEN 2 ELSE 1 END)::DOUBLE AS area, x0 || ' ' || y0 || ' ' || w || ' ' || h || CASE WHEN k % 13 < 3 OR k % 17 = 0 THEN ' moved' ELSE '' END AS gh,
     CASE WHEN k % 23 = 0 THEN NULL ELSE (c % 40 + CASE WHEN k % 19 = 0 THEN 3 ELSE 0 END)::DOUBLE END AS h, price + CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END AS price, CASE WHEN k % 31 = 0 THEN NULL ELSE c % 5 END AS cat FROM b WHERE k % 10 <> 1
 )"""
@@ -371,7 +371,7 @@ def sides(spark, sf_dir):
     ).withColumn("key", F.when(F.col("bid") % 101 != 0, F.col("key")))
     moved = F.when(k % 13 == 0, 12.0).when(k % 13 == 1, 0.5).when(k % 13 == 2, 4.0).otherwise(0.0)
     new = b.where("k % 10 <> 1").select(
-        (k + 1000000).alias("bid"), F.when(k % 101 != 0, k.cast("string")).alias("key"), *place(mx + moved), (F.col("w") * F.col("h") * F.when(k % 17 == 0, 2).otherwise(1)).cast("double").alias("area"),
+        (k + 1000000).alias("bid"), F.when(k % 101 != 0, F.concat(F.when(k % 37 == 0, "n").otherwise(""), k.cast("string"))).alias("key"), *place(mx + moved), (F.col("w") * F.col("h") * F.when(k % 17 == 0, 2).otherwise(1)).cast("double").alias("area"),
         F.concat(shape, F.when((k % 13 < 3) | (k % 17 == 0), " moved").otherwise("")).alias("gh"), F.when(k % 23 != 0, (F.col("c") % 40 + F.when(k % 19 == 0, 3).otherwise(0)).cast("double")).alias("h"),
         F.lit(True).alias("real"), (F.col("price") + F.when(k % 29 == 0, 1).otherwise(0)).alias("price"), F.when(k % 31 != 0, F.col("c") % 5).alias("cat"),
     )
@@ -466,7 +466,13 @@ def location_match(spark, sf_dir):
     return D.match_rounds(near, D.MATCH_ROUNDS)
 
 
-@query("k29_reidentified")
+@query(
+    "k29_reidentified",
+    f"""WITH {KEYED_SQL}, x AS (SELECT sa.* FROM sa JOIN st ON st.side = 'a' AND st.bid = sa.bid AND status = 'removed'), y AS (SELECT sb.* FROM sb JOIN st ON st.side = 'b' AND st.bid = sb.bid AND status = 'added'),
+    rc AS (SELECT x.bid AS a, y.bid AS b, sqrt(pow((y.mx - x.mx) * cos(radians(x.my / {DEG!r})), 2) + pow(y.my - x.my, 2)) AS d, x.area AS aa, y.area AS ba FROM x JOIN y ON y.mx BETWEEN x.mx - 51 AND x.mx + 51 AND y.my BETWEEN x.my - 51 AND x.my + 51),
+    r0 AS (SELECT * FROM rc WHERE d <= least(50, greatest(3, 0.5 * sqrt(greatest(aa, ba)))) AND greatest(aa, ba) <= 2 * least(aa, ba))
+    SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rb FROM r0) WHERE ra = 1 AND rb = 1""",
+)
 def reidentified(spark, sf_dir):
     a, b, pairs_, _ = compared(spark, sf_dir)
     return D.reidentified(a, b, D.statuses(a, pairs_, "a"), D.statuses(b, pairs_, "b"))
