@@ -10,9 +10,10 @@ the band of that half-width loses nothing.
 
 Texts of the same words collapse first (128-bit hash of the word sequence); from there on one representative
 stands for its copies, and copies are never paired. Buckets are not expanded into pairs at once either:
-in each round every bucket compares its members to one of them, the pivot, and members that are already
-linked need no comparison. After ROUNDS rounds the pairs of a bucket that are still in different components are all compared, so
-that no link is lost. Components are found by hooking to the smallest label and pointer doubling.
+members whose size leaves no possible partner in the bucket go (partner_sizes), then in each round every bucket
+compares its members to one of them, the pivot, and members that are already linked need no comparison. After
+ROUNDS rounds the members of buckets that still hold several components are all compared: blocks of them count
+their common k-mers by matrix products, and pairs with enough are aligned, so that no link is lost. Components are found by hooking to the smallest label and pointer doubling.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from cadastra.llm.words import WordHashes, mix, pieces, shingle_hashes, texts, w
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS, ELL = 14, 2, 2
-ROUNDS = 3
+ROUNDS = 2
+#: Members of a bucket that are compared to as many others at once.
+BLOCK = 128
 #: Rows of the alignment that share a window.
 _STRIP = 256
 
@@ -217,6 +220,110 @@ def verify(pairs: DataFrame, reps: DataFrame, least: float, width: int) -> DataF
     return both.mapInArrow(run, T.StructType([T.StructField("a", pairs.schema["a"].dataType), T.StructField("b", pairs.schema["b"].dataType)]))
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """(id, label): two steps towards the components. Texts of one label are in one component; the reverse may not hold yet."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
+    jump = one.select(F.col("id").alias("label"), F.col("label").alias("far"))
+    return stage(one.join(jump.hint("merge"), "label").select("id", F.least("label", "far").alias("label")), "labels")
+
+
+def partner_sizes(held: DataFrame, least: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, lo, hi): numbers of k-mers that a similar text of held can have; and (id, h), the k-mers.
+
+    Of n k-mers those that no other text holds cannot be matched; with m left, a text of k k-mers needs
+    n + k <= m (1 + s) / s. That a size alone rules out most pairs of a large bucket is exact, not a cap:
+    texts that share a passage, or edited copies too far from all others, have no sizes left.
+    """
+    schema = T.StructType([T.StructField("id", held.schema["id"].dataType), T.StructField("h", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        memo = WordHashes()
+        for batch in batches:
+            raws, ids = texts(batch.column(1)), batch.column(0)
+            for start, end in pieces(raws):
+                lists = []
+                for i in range(start, end):
+                    h = shingle_hashes(memo.of(words(raws[i] or b"")), width)
+                    lists.append(occurrence_labels(np.zeros(len(h), np.int64), h).astype(np.int64))
+                flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
+                offsets = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
+
+    listed = held.select("id", "text").mapInArrow(run, schema)
+    listed = stage(listed, "kmers")
+    alone = listed.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    n = F.col("n")
+    most = (n - F.coalesce("alone", F.lit(0))) * ((1 + least) / least) - n
+    out = listed.select("id", F.size("h").alias("n")).join(alone.hint("merge"), "id", "left")
+    out = out.select("id", "n", F.ceil(n * least - 1e-6).cast("long").alias("lo"), F.floor(F.least(n / least, most) + 1e-6).cast("long").alias("hi"))
+    return stage(out.where("lo <= hi"), "sizes"), listed
+
+
+def size_class(n):
+    return F.floor(F.log(n.cast("double")) / 0.02).cast("long")
+
+
+def with_partners(open_: DataFrame) -> DataFrame:
+    """Of bucket members (band, value, id, label, n, lo, hi) those whose bucket has another component's text of a fitting size.
+
+    A bucket is summed up by size class, of which there are some hundreds at most.
+    """
+    classes = open_.groupBy("band", "value", size_class(F.col("n")).alias("c")).agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+    held = classes.groupBy("band", "value").agg(F.collect_list(F.struct("c", "l0", "l1")).alias("classes"))
+    low, high = size_class(F.col("lo")), size_class(F.col("hi"))
+    fits = F.exists("classes", lambda x: x["c"].between(low, high) & ((x["l0"] != F.col("label")) | (x["l1"] != F.col("label"))))
+    return open_.join(held.hint("merge"), ["band", "value"]).where(fits).drop("classes")
+
+
+def block_pairs(open_: DataFrame, listed: DataFrame, least: float) -> DataFrame:
+    """(a, b) of bucket members of different labels that have enough k-mers in common for the similarity.
+
+    Buckets are cut into blocks of about BLOCK members; a row is a pair of blocks, and the pairs inside are
+    counted by a matrix product of their k-mer incidences, so that only pairs with the overlap are ever made.
+    """
+    size = open_.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = open_.select("band", "value", "id", "label").join(size.hint("merge"), ["band", "value"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(listed.hint("merge"), "id")
+    blocks = rows.groupBy("band", "value", "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("id", "label", "h")).alias("m"))
+    blocks = stage(blocks, "blocks")
+    left = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    right = blocks.select("band", "value", F.col("block").alias("other"), F.col("m").alias("o"))
+    met = left.join(right.hint("merge"), ["band", "value", "other"]).select((F.col("block") == F.col("other")).alias("same"), "m", "o")
+    id_type = open_.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+
+    def run(batches):
+        for batch in batches:
+            found_a, found_b = [], []
+            for row in range(batch.num_rows):
+                same, m, o = (c[row].as_py() for c in batch.columns)
+                names: dict[int, int] = {}
+                for x in m:
+                    for h in x["h"]:
+                        names.setdefault(h, len(names))
+
+                def incidence(side, names=names):
+                    out = np.zeros((len(side), len(names)), np.float32)
+                    for i, x in enumerate(side):
+                        out[i, [names[h] for h in x["h"] if h in names]] = 1
+                    return out
+
+                p = incidence(m)
+                common = p @ (p if same else incidence(o)).T
+                sizes = np.add.outer([len(x["h"]) for x in m], [len(x["h"]) for x in o])
+                enough = common >= sizes * (least / (1 + least)) - 1e-3
+                for i, j in zip(*map(np.ndarray.tolist, np.nonzero(enough))):
+                    if m[i]["label"] != o[j]["label"] and (not same or i < j):
+                        found_a.append(min(m[i]["id"], o[j]["id"]))
+                        found_b.append(max(m[i]["id"], o[j]["id"]))
+            types = batch.schema.field("m").type.value_type.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, types), pa.array(found_b, types)], names=["a", "b"])
+
+    return met.mapInArrow(run, schema).distinct()
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, label) of all linked ids, label the smallest id of the component; stages each round."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -267,33 +374,41 @@ def near_classes(
     wanted = members.select("id").distinct()
     held = usable.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
     held = stage(held.dropDuplicates(["id"]), "held")
-    links, labels, left = None, None, members
+    sizes, listed = partner_sizes(held, least, width)
+    left = members.join(sizes.hint("merge"), "id").withColumn("label", F.col("id"))
+    for _ in range(2):  # what has lost its last partner may have been another's
+        left = stage(with_partners(left), "members")
+    sized = [F.col(c) for c in ("id", "band", "value", "n", "lo", "hi")]
+    fit = F.col("n").between(F.col("p_lo"), F.col("p_hi")) & F.col("p_n").between(F.col("lo"), F.col("hi"))
+    links, labels, exact = None, None, True
     for r in range(rounds + 1):
         if left.isEmpty():
             break
+        if r == rounds and not exact:
+            labels, exact = components(links), True
+        open_ = left.select(*sized)
         if labels is None:
-            open_ = left.withColumn("label", F.col("id"))
+            open_ = open_.withColumn("label", F.col("id"))
         else:
-            open_ = left.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # buckets that are one component are done
-        span = open_.groupBy("band", "value").agg(
-            F.min("label").alias("lo"),
-            F.max("label").alias("hi"),
-            (F.min_by("id", F.struct(F.xxhash64("id", F.lit(r)), F.col("id"))) if r else F.min("id")).alias("pivot"),
-        )
-        span = span.where("lo <> hi")
-        open_ = stage(open_.join(span.select("band", "value", "pivot").hint("merge"), ["band", "value"]), "open")
+            open_ = open_.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # a bucket without two components of fitting sizes is done
+        left = stage(with_partners(open_), "open")
         if r < rounds:
-            pivots = open_.select("band", "value", "label").where("id = pivot").withColumnRenamed("label", "pivot_label")
-            pairs = open_.join(pivots.hint("merge"), ["band", "value"]).where("label <> pivot_label")
-            pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+            # the pivot is another one each round
+            turn = F.struct(F.xxhash64("id", F.lit(r)), F.col("id")) if r else F.struct("id")
+            other = left.groupBy("band", "value").agg(F.min_by(F.struct("id", "label", "n", "lo", "hi"), turn).alias("p"))
+            other = other.select("band", "value", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "label", "n", "lo", "hi")])
+            met = left.join(other.hint("merge"), ["band", "value"]).where((F.col("label") != F.col("p_label")) & fit)
+            pairs = met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         else:
-            x, y = (open_.select("band", "value", F.col("id").alias(i), F.col("label").alias(f"l{i}")) for i in "ab")
-            pairs = x.join(y, ["band", "value"]).where("a < b and la <> lb").select("a", "b").distinct()
+            pairs = block_pairs(left, listed, least)
         found = stage(verify(pairs, held, least, width), "links")
-        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            # between the rounds labels only spare comparisons
+            labels, exact = near_labels(links), False
+    if not exact:
         labels = components(links)
-        left = open_.select("id", "band", "value")
     owner = all_rows.select("id", "sequence").join(reps.select("sequence", "rep").where("copies > 1").hint("merge"), "sequence", "left")
     owner = owner.select("id", F.coalesce("rep", "id").alias("rep"))
     if labels is None:
