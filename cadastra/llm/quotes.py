@@ -3,18 +3,18 @@
 Quote marks at the start of lines give each line a level; lines of one level in a row are a passage. Quoted
 passages and their lines are normalised and hashed, and joined to the message of the same conversation that
 first said them. The message with the most quoted words, before the quoting one, is what it replies to;
-without a match that is the turn before. Quotation links make threads, a message without one begins its own.
-Threads are ordered by their first message, messages in a thread by turn, so each message follows the one it
-replies to, and texts lose their quotes and attribution lines.
+without a match that is the turn before. Threads are ordered by their first message, messages in a thread by
+turn, so each message follows the one it replies to, and texts lose their quotes and attribution lines.
 
 Main path: DataFrame functions only. A conversation is never gathered in one row or window: origins are one
 aggregated row per hash, the turn before comes from windows over blocks of BLOCK_TURNS turns and one over the
-blocks, thread roots from pointer doubling on (conversation, turn), and the order from a range sort.
+blocks, and the order from a range sort. Replies to the turn before make runs, which the same windows follow to
+their first message; thread roots come from pointer doubling between runs, over quotation links only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,22 +84,35 @@ def quote_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def turn_before(turns: DataFrame) -> DataFrame:
-    """(conv, turn) distinct -> before: the largest smaller turn of the conversation."""
+    """(conv, turn) distinct -> before: the largest smaller turn of the conversation, rank: how many there are."""
     blocks = turns.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
     inside = W.partitionBy("conv", "block").orderBy("turn")
     along = W.partitionBy("conv").orderBy("block")
-    ends = blocks.groupBy("conv", "block").agg(F.max("turn").alias("end")).withColumn("end", F.lag("end").over(along))
-    out = blocks.withColumn("before", F.lag("turn").over(inside)).join(ends, ["conv", "block"])
-    return out.select("conv", "turn", F.coalesce("before", "end").alias("before"))
+    ends = blocks.groupBy("conv", "block").agg(F.max("turn").alias("end"), F.count(F.lit(1)).alias("n"))
+    base = F.coalesce(F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("conv", "block", F.lag("end").over(along).alias("end"), base.alias("base"))
+    out = blocks.withColumn("before", F.lag("turn").over(inside)).withColumn("at", F.row_number().over(inside) - 1).join(ends, ["conv", "block"])
+    return out.select("conv", "turn", F.coalesce("before", "end").alias("before"), (F.col("base") + F.col("at")).alias("rank"))
+
+
+def last_up_to(rows: DataFrame, value: Column) -> DataFrame:
+    """Adds `last`: the value of the latest turn of the conversation, this one or earlier, that has one."""
+    blocks = rows.withColumn("__value", value).withColumn("__block", F.floor(F.col("turn") / BLOCK_TURNS))
+    inside = W.partitionBy("conv", "__block").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    along = W.partitionBy("conv").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    ends = blocks.groupBy("conv", "__block").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("turn"))).alias("__end"))
+    ends = ends.select("conv", "__block", F.last("__end", True).over(along).alias("__end"))
+    out = blocks.withColumn("last", F.last("__value", True).over(inside)).join(ends, ["conv", "__block"])
+    return out.withColumn("last", F.coalesce("last", "__end")).drop("__value", "__block", "__end")
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
-    """(conv, turn, parent) of linked messages -> conv, turn, root, depth.
+    """(conv, turn, root, depth) of linked messages, root an earlier first message of a run -> the same with the thread's root.
 
-    Parents are earlier turns, so there are no cycles. Each round doubles the steps taken; only linked messages
-    take part, and a round without a move ends it.
+    Links go to earlier turns, so there are no cycles. Each round doubles the steps taken, and a round without a
+    move ends it.
     """
-    now = stage(links.select("conv", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "threads")
+    now = stage(links.select("conv", "turn", "root", "depth"), "threads")
     while not now.isEmpty():
         up = now.select("conv", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         step = now.join(up.hint("merge"), ["conv", "root"], "left").select(
@@ -118,6 +131,24 @@ def thread_roots(links: DataFrame) -> DataFrame:
     return now
 
 
+def threads(parents: DataFrame) -> DataFrame:
+    """(conv, turn, parent, linked, rank) -> conv, turn, parent, linked, root, depth over all parents.
+
+    A message that is linked, or has no parent, starts a run; the others reply to the turn before and belong to
+    the run of the latest start. Keys of the joins with roots are single turns: a long run is no hot key.
+    """
+    starts = F.col("linked") | F.col("parent").isNull()
+    runs = last_up_to(parents, F.when(starts, F.struct("turn", "rank")))
+    runs = stage(runs.select("conv", "turn", "parent", "linked", "rank", F.col("last.turn").alias("head"), (F.col("rank") - F.col("last.rank")).alias("steps")), "runs")
+    heads = runs.select("conv", F.col("turn").alias("parent"), F.col("head").alias("root"), (F.col("steps") + 1).alias("depth"))
+    links = runs.where("linked").select("conv", "turn", "parent").join(heads.hint("merge"), ["conv", "parent"])
+    roots = thread_roots(links).withColumnRenamed("root", "__root").withColumnRenamed("depth", "__depth")
+    runs = runs.join(roots.hint("merge"), ["conv", "turn"], "left")
+    start = F.struct(F.coalesce("__root", "turn").alias("root"), F.coalesce("__depth", F.lit(0)).cast("long").alias("depth"))
+    runs = last_up_to(runs, F.when(starts, start))
+    return runs.select("conv", "turn", "parent", "linked", F.col("last.root").alias("root"), (F.col("last.depth") + F.col("steps")).alias("depth"))
+
+
 def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message, in reply order: conv, turn, role, text without quotes, chat, n_quoted (lines), quote_depth, reply_to, linked, root, depth.
 
@@ -132,11 +163,8 @@ def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col:
     turns = rows.where("conv is not null and turn is not null").select("conv", "turn").distinct()
     parents = turn_before(turns).join(best, ["conv", "turn"], "left")
     parents = parents.withColumn("parent", F.coalesce("quoted_turn", "before")).withColumn("linked", F.col("quoted_turn").isNotNull())
-    parents = stage(parents.select("conv", "turn", "parent", "linked"), "parents")
-    roots = thread_roots(parents.where("linked").select("conv", "turn", "parent"))
-    placed = parents.join(roots.hint("merge"), ["conv", "turn"], "left")
-    placed = placed.withColumn("root", F.coalesce("root", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
-    placed = stage(placed, "placed")
+    parents = stage(parents.select("conv", "turn", "parent", "linked", "rank"), "parents")
+    placed = stage(threads(parents), "placed")
     out = parsed(rows, "__text").join(placed.hint("merge"), ["conv", "turn"], "left")
     role = F.coalesce(F.col("role"), F.lit("unknown"))
     return out.select(
