@@ -1,10 +1,10 @@
 """Chat formatting by quotation linking.
 
 Quote marks at the start of lines give each line a level; lines of one level in a row are a passage. Quoted
-passages and their lines are normalised and hashed, and joined to the message of the same conversation that
-first said them. The message with the most quoted words, before the quoting one, is what it replies to;
-without a match that is the turn before. Threads are ordered by their first message, messages in a thread by
-turn, so each message follows the one it replies to, and texts lose their quotes and attribution lines.
+passages, their lines and their sentences are normalised and hashed, and joined to the message of the same
+conversation that first said them. The message with the most quoted words, before the quoting one, is what it
+replies to; without a match that is the turn before. Threads are ordered by their first message, messages in a
+thread by turn, so each message follows the one it replies to, and texts lose their quotes and attribution lines.
 
 Main path: DataFrame functions only. A conversation is never gathered in one row or window: origins are one
 aggregated row per hash, the turn before comes from windows over blocks of BLOCK_TURNS turns and one over the
@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import stage, table, unstage
 
 BLOCK_TURNS = 1000
-#: A quoted passage or line needs so many words to point at its origin.
-MIN_WORDS = 2
-
 MARKS = r"^[ \\t]*((?:>[ \\t]*)+)"
+#: Marks that end a sentence, with what closes it.
+SENTENCE_END = r"[.!?]+[\\p{Pe}\\p{Pf}\"]*[ \\t]+"
 ATTRIBUTION = r"(?i)\\b(wrote|writes|said|schrieb|écrit|escribió)\\b.*:[ \\t]*$"
 
 
@@ -65,13 +64,20 @@ def _unit(text: str) -> str:
 
 
 def units(rows: DataFrame, quoted: bool) -> DataFrame:
-    """conv, turn, level, h, words: hashes of whole passages and of their lines (and of all a message says itself)."""
+    """conv, turn, level, kind, h, words: hashes of whole passages, of their lines and sentences (and of all a message says itself).
+
+    Sentences are those of the passage with its lines joined, so that it does not matter where lines break.
+    """
     side = "x.level > 0" if quoted else "x.level = 0"
-    whole = f"transform(filter(passages, x -> {side}), x -> named_struct('level', x.level, 'u', {_unit('array_join(x.lines, chr(10))')}))"
-    single = f"transform(filter(lines, x -> {side} and x.body <> ''), x -> named_struct('level', x.level, 'u', {_unit('x.body')}))"
-    both = f"concat({whole}, {single})" if quoted else f"concat({whole}, {single}, array(named_struct('level', 0, 'u', {_unit('own')})))"
-    out = rows.select("conv", "turn", F.explode(F.expr(f"array_distinct({both})")).alias("x"))
-    return out.select("conv", "turn", "x.level", "x.u.h", "x.u.words").where(F.col("words") >= MIN_WORDS)
+    kind = lambda name: f"'{name}'" if quoted else "''"
+    made = lambda level, name, text: f"named_struct('level', {level}, 'kind', {kind(name)}, 'u', {_unit(text)})"
+    said = f"filter(passages, x -> {side})"
+    whole = f"transform({said}, x -> {made('x.level', 'passage', 'array_join(x.lines, chr(10))')})"
+    single = f"transform(filter(lines, x -> {side} and x.body <> ''), x -> {made('x.level', 'line', 'x.body')})"
+    sentence = f"flatten(transform({said}, x -> transform(split(array_join(x.lines, ' '), '{SENTENCE_END}'), s -> {made('x.level', 'sentence', 's')})))"
+    both = f"{whole}, {single}, {sentence}" + ("" if quoted else f", array({made('0', 'own', 'own')})")
+    out = rows.select("conv", "turn", F.explode(F.expr(f"array_distinct(concat({both}))")).alias("x"))
+    return out.select("conv", "turn", "x.level", "x.kind", "x.u.h", "x.u.words").where(F.col("words") > 0)
 
 
 def quote_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
@@ -80,7 +86,9 @@ def quote_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     quoting = parsed(rows.where(F.col("__text").contains(">")), "__text")
     origins = units(parsed(rows, "__text"), False).groupBy("conv", "h").agg(F.min("turn").alias("origin"))
     found = units(quoting, True).join(origins, ["conv", "h"]).where(F.col("origin") < F.col("turn"))
-    return found.groupBy("conv", "turn", "origin").agg(F.min("level").alias("level"), F.sum("words").alias("words"))
+    # passages, their lines and their sentences are the same words: each kind counts them once
+    kinds = found.groupBy("conv", "turn", "origin", "kind").agg(F.min("level").alias("level"), F.sum("words").alias("words"))
+    return kinds.groupBy("conv", "turn", "origin").agg(F.min("level").alias("level"), F.max("words").alias("words"))
 
 
 def turn_before(turns: DataFrame) -> DataFrame:

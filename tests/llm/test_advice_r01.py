@@ -30,3 +30,18 @@ def test_threads_follow_every_reply(spark):
     apart = spark.createDataFrame([(1, k * 3, "user", "x") for k in range(2500)], MESSAGES)
     last = quotes.link_conversations(apart).where("turn = 7497").first()
     assert (last.reply_to, last.root, last.depth) == (7494, 0, 2499)
+
+
+def test_partial_and_rewrapped_quotes(spark):
+    rows = [
+        (1, 0, "user", "We met on Monday. The plan was to leave early, before the rain! Nobody agreed."),
+        (1, 1, "assistant", "Yes. It is a fine plan\nfor all of us. Who drives?"),
+        (1, 2, "user", "Something else entirely."),
+        (1, 3, "assistant", "> The plan was to leave early, before the rain!\nWhy?"),
+        (1, 4, "user", "> It is a fine\n> plan for all\n> of us.\nIs it?"),
+        (1, 5, "assistant", "> Yes.\nReally?"),
+        (1, 6, "user", "> The plan was to leave\n> early, before the rain! Nobody\n> agreed.\nI did."),
+        (1, 7, "assistant", "> the plan was\nNo whole sentence."),
+    ]
+    got = {r.turn: (r.reply_to, r.linked) for r in quotes.link_conversations(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got == {0: (None, False), 1: (0, False), 2: (1, False), 3: (0, True), 4: (1, True), 5: (1, True), 6: (0, True), 7: (6, False)}
