@@ -58,6 +58,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def file_place() -> Column:
+    """Sorts the rows of a written table as they were written: by the task that wrote the file, its files, the row.
+
+    For a table as read, before any join; reading alone deals files to tasks by size.
+    """
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+    return F.struct(number(r"^part-(\d+)").alias("task"), number(r"-c(\d+)\.").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     path = getattr(df, "_staged_path", None)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights as a time-varying curriculum.
 
 Every source has a weight schedule over training time t in [0, 1], piecewise linear between knots. Its
-integral is the source's cumulative share of tokens; inverting it assigns each document the moment at which
-the mix has consumed that much of the source. Documents are then range-sorted by that position.
+integral is the source's cumulative share of tokens; inverting it assigns each copy of a document the moment at
+which the mix has consumed that much of the source. Documents are then range-sorted by that position.
 
 Main path: DataFrame functions only. The order of documents inside a source is that of an md5 of the id. A
 running sum over a whole source would put a hot source in one task, so documents are first dealt into blocks
@@ -71,7 +71,13 @@ def invert_demand(share: Column, start: Column, end: Column) -> Column:
     return F.when(start + root > 0, 2 * need / (start + root)).otherwise(F.lit(0.0))
 
 
-def curriculum(
+def copy_position(copy: Column) -> Column:
+    """When the mix reaches a copy (0 is the first) of a document of `places`: each pass over the source follows the one before."""
+    middle = (F.col("__offset") + copy * F.col("source_size") + F.col("size") / 2) / F.when(F.col("target") > 0, F.col("target"))
+    return invert_demand(middle, F.col("__start"), F.col("__end"))
+
+
+def places(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -80,15 +86,7 @@ def curriculum(
     schedules: tuple[tuple[float, float], ...] = SCHEDULES,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document, range-sorted by position: id, size, source_size, target, taken, copies, position.
-
-    Sources in code-point order, null last, weigh 1, 2, 3, repeating. taken counts words: every document is
-    taken floor(target / source_size) times, and in the order of the hash once more until the target is
-    reached; the last of these is taken in part. copies is that in whole documents (the cut one counts from a
-    half). position in [0, 1] is that of the first copy; documents that are not taken have null and sort last.
-    keep: input columns to carry along. Null text has size 0; empty documents are never cut and take part
-    with 0 words; repeated rows are documents of their own. An empty table gives an empty result.
-    """
+    """One row per document, in no order: __id, size, source_size, target, taken, copies, __offset in the source, __start and __end of its weight, __c_ columns of keep."""
     carried = [F.col(c).alias(f"__c_{c}") for c in keep]
     rows = docs.select(
         F.col(id_col).alias("__id"),
@@ -133,24 +131,49 @@ def curriculum(
     part = F.greatest(F.lit(0), F.least(F.col("size"), more - offset)).cast("long")
     taken = F.col("size") * whole + part
     copies = whole + F.when((F.col("size") > 0) & (part * 2 >= F.col("size")), 1).otherwise(0)
-    middle = (offset + F.col("size") / 2) / F.when(F.col("target") > 0, F.col("target"))
-    position = F.when(taken > 0, invert_demand(middle, F.col("__start"), F.col("__end")))
     return out.select(
-        F.col("__id").alias(id_col),
+        "__id",
         "size",
         "source_size",
         "target",
         taken.cast("long").alias("taken"),
         copies.cast("long").alias("copies"),
-        position.alias("position"),
+        offset.alias("__offset"),
+        "__start",
+        "__end",
+        *[f"__c_{c}" for c in keep],
+    )
+
+
+def curriculum(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """One row per document, range-sorted by position: id, size, source_size, target, taken, copies, position.
+
+    Sources in code-point order, null last, weigh 1, 2, 3, repeating. taken counts words: every document is
+    taken floor(target / source_size) times, and in the order of the hash once more until the target is
+    reached; the last of these is taken in part. copies is that in whole documents (the cut one counts from a
+    half). position in [0, 1] is that of the first copy; documents that are not taken have null and sort last.
+    keep: input columns to carry along. Null text has size 0; empty documents are never cut and take part
+    with 0 words; repeated rows are documents of their own. An empty table gives an empty result.
+    """
+    out = places(docs, id_col, keep=keep, **options)
+    return out.select(
+        F.col("__id").alias(id_col),
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        "copies",
+        F.when(F.col("taken") > 0, copy_position(F.lit(0))).alias("position"),
         *[F.col(f"__c_{c}").alias(c) for c in keep if c != id_col],
     ).orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix in training order: repeated as often as copies says, with the columns of docs."""
-    plan = curriculum(docs.withColumn("__row", F.struct(*[F.col(c) for c in docs.columns])), keep=("__row",), **options)
-    return plan.where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+    """The documents of the mix in training order: repeated as often as copies says, each copy at its own position, with the columns of docs."""
+    plan = places(docs.withColumn("__row", F.struct(*[F.col(c) for c in docs.columns])), keep=("__row",), **options)
+    plan = plan.where("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    plan = plan.select(copy_position(F.col("__copy")).alias("__position"), "__id", "__copy", F.col("__c___row").alias("__row"))
+    return plan.orderBy("__position", "__id", "__copy").select("__row.*")
 
 
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:

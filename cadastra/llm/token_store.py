@@ -160,8 +160,11 @@ def _encoder(tokenizer_json: str, end_id: int | None) -> Encoder:
     return Encoder(tokenizer_json, end_id)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write chunks/, recipes/ and manifest/ under path. Null text counts as empty; repeated rows are documents of their own."""
+def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> None:
+    """Write chunks/, recipes/ and manifest/ under path. Null text counts as empty; repeated rows are documents of their own.
+
+    Recipes are in the order of order_col, else of the ids.
+    """
     spark = docs.sparkSession
     schema = T.StructType(
         [
@@ -170,6 +173,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | N
             T.StructField("doc_id", docs.schema[id_col].dataType),
             T.StructField("n_tokens", T.LongType()),
             T.StructField("payload", T.BinaryType()),
+            *([T.StructField("place", docs.schema[order_col].dataType)] if order_col else []),
         ]
     )
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)
@@ -201,18 +205,21 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | N
                     counts.append(len(ids))
                     payloads.append(b"".join(recipe))
                     owners.append(i)
+                owned = pa.array(owners, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(kinds), batch.column(0).take(pa.array(owners, pa.int64())), pa.array(counts, pa.int64()), pa.array(payloads, pa.binary())],
+                    [pa.array(keys, pa.binary()), pa.array(kinds), batch.column(0).take(owned), pa.array(counts, pa.int64()), pa.array(payloads, pa.binary())]
+                    + [c.take(owned) for c in batch.columns[2:]],
                     names=schema.names,
                 )
 
-    rows = docs.select(id_col, text_col).mapInArrow(encode, schema)
+    place = ["place"] if order_col else []
+    rows = docs.select(id_col, text_col, *[F.col(order_col).alias(c) for c in place]).mapInArrow(encode, schema)
     first = lambda c: F.first(c).alias(c)
-    unique = rows.repartition("key").groupBy("key").agg(first("kind"), first("doc_id"), first("n_tokens"), first("payload"))
+    unique = rows.repartition("key").groupBy("key").agg(first("kind"), first("doc_id"), first("n_tokens"), first("payload"), *map(first, place))
     unique.write.partitionBy("kind").parquet(f"{path}/encoded")
     both = spark.read.schema(schema).parquet(f"{path}/encoded")
-    recipes = both.where("kind = 'recipe'").select("doc_id", "n_tokens", F.col("payload").alias("recipe"))
-    recipes = recipes.orderBy(F.col("doc_id").asc_nulls_first(), "recipe").withColumn("row", F.monotonically_increasing_id())
+    recipes = both.where("kind = 'recipe'").select("doc_id", "n_tokens", F.col("payload").alias("recipe"), *place)
+    recipes = recipes.orderBy(*place, F.col("doc_id").asc_nulls_first(), "recipe").drop(*place).withColumn("row", F.monotonically_increasing_id())
     recipes.write.parquet(f"{path}/recipes")
     roots = merkle(read_recipes(spark, path, docs.schema[id_col].dataType))
     roots.write.parquet(f"{path}/manifest")
@@ -362,11 +369,11 @@ def tokenizer_file(path: str | None = None) -> str:
         return f.read()
 
 
-def token_store(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer_path: str | None = None, order_col: str | None = None) -> DataFrame:
     """Write a store of docs in the shared folder and read it back."""
     spark = docs.sparkSession
     path = new_path(spark, "token-store")
-    write_store(docs, path, tokenizer_file(tokenizer_path))
+    write_store(docs, path, tokenizer_file(tokenizer_path), order_col=order_col)
     return read_store(spark, path, docs.schema["doc_id"].dataType)
 
 

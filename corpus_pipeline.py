@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm.common import stage, table
+from cadastra.llm.common import file_place, stage, table
 from cadastra.llm.curriculum import mixed
 from cadastra.llm.decontaminate import decontaminated
 from cadastra.llm.langid import in_a_language, samples
@@ -36,8 +36,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Content-addressed store of the token ids, read back and verified."""
-    return token_store(docs)
+    """Content-addressed store of the token ids in the order of the staged mix, read back and verified."""
+    return token_store(docs.withColumn("place", file_place()), order_col="place")
 
 
 STAGES = [
