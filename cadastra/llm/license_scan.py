@@ -86,29 +86,38 @@ class Scanner:
             out.append((self.labels[m.lastindex - 1], index))
         return out
 
+    def matches(self, n: int, flat: str, start: int, end: int):
+        """The best match of a notice between start and end, and those before and after it."""
+        _, length, errors = self.notices[n]
+        todo = [(start, end)]
+        while todo:
+            start, end = todo.pop()
+            m = self.patterns[n].search(flat, start, end) if end - start >= length - errors else None
+            if m:
+                yield m
+                todo += [(start, m.start()), (m.end(), end)]
+
     def fuzzy(self, flat: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, similarity) of the notices in normalised text; of overlapping finds the most similar stays."""
         if not len(self.seeds):
             return []
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, own in self.seeds.iter(flat):
             for n, offset, size in own:
-                _, length, errors = self.notices[n]
-                start = end + 1 - size - offset - errors
-                spans = windows.setdefault(n, [])
-                if spans and start <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], start + length + 2 * errors)
-                    spans[-1][0] = min(spans[-1][0], start)
-                else:
-                    spans.append([start, start + length + 2 * errors])
+                starts.setdefault(n, set()).add(end + 1 - size - offset - self.notices[n][2])
         found = []
-        for n, spans in windows.items():
+        for n, places in starts.items():
             label, length, errors = self.notices[n]
+            spans: list[list[int]] = []  # pieces of one notice are shifted by its errors at most: one window holds it whole
+            for start in sorted(places):
+                if spans and start <= spans[-1][0] + 2 * errors:
+                    spans[-1][1] = start + length + 2 * errors
+                else:
+                    spans.append([start, start + length + 2 * errors])
             for start, end in spans:
-                start = max(0, start)
-                for m in self.patterns[n].finditer(flat[start : max(0, end)]):
+                for m in self.matches(n, flat, max(0, start), min(len(flat), end)):
                     edits = sum(m.fuzzy_counts)
-                    found.append((label, start + m.start(), start + m.end(), edits, 1 - edits / length))
+                    found.append((label, m.start(), m.end(), edits, 1 - edits / length))
         found.sort(key=lambda x: (-x[4], x[1] - x[2], x[1], x[0]))
         out: list[tuple[str, int, int, int, float]] = []
         for f in found:

@@ -5,7 +5,7 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline
-from cadastra.llm import curriculum, quotes
+from cadastra.llm import curriculum, license_scan, quotes
 from cadastra.llm.common import stage
 
 MESSAGES = "conv_id long, turn int, role string, text string"
@@ -99,3 +99,16 @@ def test_each_copy_has_its_own_position(spark):
     store = corpus_pipeline.tokens(spark, mix, "").collect()
     assert [r.doc_id for r in sorted(store, key=lambda r: r.start)] == [i for _, i, _ in want]
     assert all(r.verified for r in store)
+
+
+def test_stacked_notices():
+    scanner = license_scan.Scanner()
+    good, bad, worse = (f"licensed under the apache {x} version 2 0" for x in ("license", "licence", "licenze"))
+    for lines in ([bad, good], [bad, bad, good, bad], [good, bad, good], [bad, worse, "x", good, worse] * 20):
+        text = "filler " + " ".join(lines) + " more filler"
+        want, at = [], len("filler ")
+        for line in lines:
+            if line != "x":
+                want.append(("apache", at, at + len(line), int(line != good)))
+            at += len(line) + 1
+        assert [(label, a, b, edits) for label, _, a, b, edits, _ in scanner.scan(text.encode())[2]] == want
