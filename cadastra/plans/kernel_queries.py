@@ -69,7 +69,7 @@ def polygon_overlap(spark, sf_dir):
             rows.append((round(G.intersection(x, y)[0], 6), round(G.union(x, y)[0], 6)))
         return pd.DataFrame(rows, columns=["inter", "joined"])
 
-    a = osm_boxes(spark, sf_dir).where("k % 8 = 1")
+    a = osm_boxes(spark, sf_dir)
     near = box_join(a.select("id", "x0", "y0", "x1", "y1"), gob_boxes(spark, sf_dir).select("id", "x0", "y0", "x1", "y1"), 32.0)
     wkb = lambda s: box_wkb(*[f"{s}_{c}" for c in ("x0", "y0", "x1", "y1")])
     return near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), areas(wkb("a"), wkb("b")).alias("m")).select("a", "b", "m.inter", "m.joined")
@@ -120,7 +120,7 @@ def shadow_areas(spark, sf_dir):
     def area(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
         return pd.Series([shadow_area([ring(*r)], 0.0, 10.0, dx, dy) for r in zip(x0, y0, x1, y1)])
 
-    b = osm_boxes(spark, sf_dir).where("k % 10 = 1")
+    b = osm_boxes(spark, sf_dir)
     return b.select("id", (F.floor(area("x0", "y0", "x1", "y1") * 1000 + 0.5) / 1000).alias("area"))
 
 
