@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,5 +94,44 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def ints(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)) or default)
+#: Bytes of whole texts that go to a Python worker at once; one longer document is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """rows.mapInArrow for rows of whole texts, with bounded memory.
+
+    Batches are bounded by bytes (a smaller bound of the session stays), not only by rows, and a worker gives
+    back what a task has freed: workers outlive tasks, and two of them share an executor with its JVM.
+    """
+    spark = rows.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_KEY)) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_STATE: dict[Hashable, object] = {}
+
+
+def worker_state(key: Hashable, build: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: the tables of one operator, those used last."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]

@@ -19,27 +19,31 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadastra.llm.common import new_path, reread, table
+from cadastra.llm.common import BATCH_BYTES, map_texts, new_path, reread, table, worker_state
 from cadastra.llm.words import pieces, texts
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: A chunk ends where the low bits of the rolling hash are 0; it has at least MIN_IDS ids and at most MAX_IDS.
 MASK, MIN_IDS, MAX_IDS = np.uint32(0xFF << 20), 64, 2048
-MEMO_WORDS = 400_000
-#: Marks that end words, and letters that have no other form under normalisation and fold one to one.
-MARKS = b".,;:!?"
+#: Words remembered since the last turn of the memo; those used since the turn before are remembered too.
+MEMO_WORDS = 150_000
+#: ASCII marks that may end a word, and letters that have no other form under normalisation and fold one to one.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTERS = "".join(c for c in map(chr, range(256)) if LATIN.fullmatch(c))
 MERKLE_BLOCK = 1024
 _RECIPE = np.dtype([("digest", "V16"), ("ids", "<u4")])
 
@@ -51,33 +55,40 @@ def byte_letters() -> str:
     return "".join(chr(b if b in plain else next(odd)) for b in range(256))
 
 
-class WordMemo(dict):
-    """word -> packed ids, encoded once while there is room."""
+class WordMemo:
+    """word -> packed ids. When the young half is full it becomes the old half; words used since then move back."""
 
     def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
+        self.encoder, self.young, self.old = encoder, {}, {}
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        out = list(map(self.young.get, words))
+        for k, packed in enumerate(out):
+            if packed is None:
+                word = words[k]
+                packed = out[k] = self.old.get(word) or self.encoder.word(word)
+                if len(self.young) >= MEMO_WORDS:
+                    self.old, self.young = self.young, {}
+                self.young[word] = packed
+        return out
+
 
-    def __missing__(self, word: bytes) -> bytes:
-        bare = word.rstrip(MARKS)
-        if bare and len(bare) < len(word) and self.encoder.letters(bare):
-            packed = self[bare] + self[word[len(bare) :]]
-        else:
-            packed = self.encoder.word(word)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = packed
-        return packed
+def gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat, sizes long, in the order of at, and their lengths."""
+    n = sizes[at]
+    source = np.repeat(((np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n)).astype(np.int32), n)
+    source += np.arange(len(source), dtype=np.int32)
+    return flat[source], n
 
 
 class Encoder:
-    """Whole texts to packed ids.
+    """Whole texts to ids.
 
-    A tokenizer that drops white space encodes a text as its words one after another, so each distinct word is
-    encoded once and remembered; others encode whole texts. Where the tokenizer also folds case and keeps
-    letters and marks apart, words are folded first, marks at a word's end are encoded by themselves, and
-    Latin words, on which its normalisation and splitting do nothing more, go straight to its merge model.
-    Which of these hold is tried on probes.
+    A tokenizer that drops white space encodes a text as its words one after another: the distinct words of a
+    piece of text are encoded once, frequent ones are remembered, and the ids are gathered by word. Others
+    encode whole texts. Where the tokenizer also folds case and keeps letters and marks apart, words are folded
+    first, marks at a word's end are encoded by themselves, and Latin words, on which its normalisation and
+    splitting do nothing more, go straight to its merge model. Which of these hold is tried on probes.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int | None):
@@ -85,39 +96,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else np.dtype("<u4")
-        self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.end = np.array([] if end_id is None else [end_id], self.dtype)
         self.memo = WordMemo(self)
         self.table = byte_letters()
         probe = ["Ab", "c's,", "é.", "x1"]
         self.by_word = self._ids([" ".join(probe), " \n".join(probe)]) == [b"".join(self._ids(probe))] * 2
-        latin = ["a", "the", "ABC", "Thandble", "éÀöß", "ñandú", "zzqx", "Straße"]
+        latin, marks = ["a", "the", "ABC", "Thandble", "éÀöß", "ñandú", "zzqx", "Straße"], [MARKS.decode(), ".", ",***", "$$$", "?!"]
         self.direct = (
             self.by_word
-            and self._ids([w + "., !?" for w in latin]) == [a + b"".join(self._ids([".,", "!?"])) for a in self._ids(latin)]
+            and self._ids([w + m for w in latin for m in marks]) == [a + b for a in self._ids(latin) for b in self._ids(marks)]
             and [self._merge(w) for w in latin] == self._ids(latin)
         )
 
     def _ids(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
     def _merge(self, word: str) -> bytes:
-        spelled = word.lower().encode().decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+        spelled = word.lower()
+        if not spelled.isascii():
+            spelled = spelled.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def letters(self, word: bytes) -> bool:
         return self.direct and (word.isascii() and word.isalpha() or LATIN.fullmatch(word.decode()) is not None)
 
     def word(self, word: bytes) -> bytes:
+        if not word:
+            return b""
         return self._merge(word.decode()) if self.letters(word) else self._ids([word.decode()])[0]
 
-    def encode(self, raws: list[bytes | None]) -> list[bytes]:
+    def _runs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has."""
+        packed = self.memo.of(words.cast(pa.binary()).to_pylist())
+        return np.frombuffer(b"".join(packed), self.dtype), np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the distinct words of a piece of text."""
+        if not self.direct:
+            return self._runs(words)
+        bare = pc.utf8_rtrim(words, MARKS.decode())
+        plain = pc.match_substring_regex(bare, f"^{LATIN.pattern}$")
+        stems = pc.if_else(plain, bare, words).dictionary_encode()
+        marks = pc.if_else(plain, pc.utf8_ltrim(words, LETTERS), "").dictionary_encode()
+        (a, n), (b, m) = self._runs(stems.dictionary), self._runs(marks.dictionary)
+        both = np.stack([stems.indices.to_numpy(), marks.indices.to_numpy() + len(n)], 1)
+        flat, sizes = gather(np.concatenate([a, b]), np.concatenate([n, m]), both.ravel())
+        return flat, sizes.reshape(-1, 2).sum(1)
+
+    def encode(self, raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, the end after each, and where each text begins and the last ends."""
         if not self.by_word:
-            return [x + self.end for x in self._ids([(raw or b"").decode() for raw in raws])]
-        get = self.memo.__getitem__
+            each = [np.frombuffer(x, self.dtype) for x in self._ids([(raw or b"").decode() for raw in raws])]
+            bounds = np.cumsum([0, *(len(x) + len(self.end) for x in each)])
+            return np.concatenate([y for x in each for y in (x, self.end)] or [self.end[:0]]), bounds
         # special tokens are found before case is folded
-        split = ((raw.lower() if self.direct and b"<|" not in raw else raw).split() if raw else () for raw in raws)
-        return [b"".join(map(get, w)) + self.end for w in split]
+        folded = [(raw.lower() if self.direct and b"<|" not in raw else raw) if raw else b"" for raw in raws]
+        split = pc.ascii_split_whitespace(pa.array(folded, pa.binary()).cast(pa.string()))
+        words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()[1:]
+        flat, sizes = self.distinct(words.dictionary)
+        flat, sizes = np.concatenate([flat, self.end]), np.append(sizes, len(self.end))
+        at = np.insert(words.indices.to_numpy(), ends, len(sizes) - 1)
+        ids, n = gather(flat, sizes, at)
+        return ids, np.concatenate([[0], np.cumsum(n)[ends + np.arange(len(raws))]])
 
 
 @lru_cache(1)
@@ -133,10 +176,24 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document."""
-    n, out, last = len(ids), [], 0
-    for p in (np.flatnonzero((rolling_hash(ids) & MASK) == 0) + 1).tolist():
+def cut_points(ids: np.ndarray, bounds: np.ndarray | None = None) -> list[list[int]] | list[int]:
+    """Ends of the chunks of one document, counted from its first id; with bounds those of each of several.
+
+    The hash at a place depends on the 32 ids up to it, and no chunk ends before MIN_IDS ids of its document:
+    what stands before a document changes none of its chunks.
+    """
+    marked = np.flatnonzero((rolling_hash(ids) & MASK) == 0) + 1
+    if bounds is None:
+        return _cuts(marked.tolist(), len(ids))
+    first = np.searchsorted(marked, bounds[:-1], "right").tolist()
+    last = np.searchsorted(marked, bounds[1:], "right").tolist()
+    marked = marked.tolist()
+    return [_cuts([p - start for p in marked[a:b]], end - start) for a, b, start, end in zip(first, last, bounds.tolist(), bounds[1:].tolist())]
+
+
+def _cuts(marked: list[int], n: int) -> list[int]:
+    out, last = [], 0
+    for p in marked:
         while p - last > MAX_IDS:
             last += MAX_IDS
             out.append(last)
@@ -155,11 +212,6 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-@lru_cache(2)
-def _encoder(tokenizer_json: str, end_id: int | None) -> Encoder:
-    return Encoder(tokenizer_json, end_id)
-
-
 def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> None:
     """Write chunks/, recipes/ and manifest/ under path. Null text counts as empty; repeated rows are documents of their own.
 
@@ -179,16 +231,18 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | N
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)
 
     def encode(batches):
-        encoder, task, serial, seen = _encoder(vocabulary.value, end_id), TaskContext.get().partitionId(), 0, set()
+        encoder = worker_state(("encoder", vocabulary.value, end_id), lambda: Encoder(vocabulary.value, end_id))
+        task, serial, width, seen = TaskContext.get().partitionId(), 0, encoder.dtype.itemsize, set()
         for batch in batches:
             raws = texts(batch.column(1))
-            for start, end in pieces(raws):
+            for start, end in pieces(raws, BATCH_BYTES):
                 keys, kinds, counts, payloads, owners = [], [], [], [], []
-                for i, packed in zip(range(start, end), encoder.encode(raws[start:end])):
-                    ids = np.frombuffer(packed, encoder.dtype)
-                    recipe, last, width = [], 0, encoder.dtype.itemsize
-                    for cut in cut_points(ids):
-                        chunk = packed[last * width : cut * width]
+                ids, bounds = encoder.encode(raws[start:end])
+                stream = ids.tobytes()
+                for i, first, cuts in zip(range(start, end), bounds.tolist(), cut_points(ids, bounds)):
+                    recipe, last = [], 0
+                    for cut in cuts:
+                        chunk = stream[(first + last) * width : (first + cut) * width]
                         name = digest(chunk)
                         recipe.append(name + struct.pack("<I", cut - last))
                         if name not in seen:  # of this task; across tasks the shuffle below decides
@@ -202,7 +256,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | N
                     keys.append(struct.pack(">cIQ", b"r", task, serial))
                     serial += 1
                     kinds.append("recipe")
-                    counts.append(len(ids))
+                    counts.append(last)
                     payloads.append(b"".join(recipe))
                     owners.append(i)
                 owned = pa.array(owners, pa.int64())
@@ -213,7 +267,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | N
                 )
 
     place = ["place"] if order_col else []
-    rows = docs.select(id_col, text_col, *[F.col(order_col).alias(c) for c in place]).mapInArrow(encode, schema)
+    rows = docs.select(id_col, text_col, *[F.col(order_col).alias(c) for c in place])
+    rows = map_texts(rows, encode, schema)
     first = lambda c: F.first(c).alias(c)
     unique = rows.repartition("key").groupBy("key").agg(first("kind"), first("doc_id"), first("n_tokens"), first("payload"), *map(first, place))
     unique.write.partitionBy("kind").parquet(f"{path}/encoded")

@@ -176,8 +176,13 @@ def test_encoder_matches_whole_texts():
     encoder, plain = token_store.Encoder(vocabulary, None), Tokenizer.from_str(vocabulary)
     assert encoder.by_word and encoder.direct
     odd = ["", " ", "İstanbul ǅ", "á b c d\x1cE", "<|endoftext|> x<|startoftext|>y", "don't we'LL 12.5", "é" * 50, "漢字 かな　z"]
-    for text, packed in zip(odd, encoder.encode([t.encode() for t in odd])):
-        assert np.frombuffer(packed, encoder.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    odd += ["  end,*** (see) it's' e.g. a-b -- ?! x2, é.\tÀÉ!\n", "$$$ a$$$ <b> <|x", None, "one" * 900, "x\u0301 e\u0301. ﬁne ſ ẞ"]
+    rng = random.Random(5)
+    odd += ["".join(rng.choices("aBé'.,!<|> \n7ß漢", k=rng.randint(0, 60))) for _ in range(300)]
+    ids, bounds = encoder.encode([None if t is None else t.encode() for t in odd])
+    for text, a, b in zip(odd, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+    assert [len(x) for x in encoder.encode([])] == [0, 1]
 
 
 def test_crc_shift():
