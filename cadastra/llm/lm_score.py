@@ -1,44 +1,49 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Tokens are runs without ASCII white space, A-Z lower-cased, and one end token per text. The CLASSES - 2 most
-frequent words, the end and a class for all other words are the model's outcomes. A context of the two
-classes before predicts a vector, q = R[w1] C1 + R[w2] C2, and P(w | context) is the softmax of q Q[w] + b[w];
-a word of the other class further has its smoothed share of that class, so that the text's probability is
-normalised over all words.
+Tokens are runs without ASCII white space, A-Z lower-cased, and one end token per text. The model's outcomes are
+the words that make up at least one in WORDS of all training tokens (MIN_COUNT of them at least), so that there are
+WORDS of them at most and more the larger the corpus; the end; and one outcome for all rarer words. A context of
+the two outcomes before predicts a vector, q = R[w2] C2 + R[w1] C1. Outcomes, most frequent first, are the leaves of
+a tree of LEVELS levels: the first digits of an outcome's number are its node at each level. Nodes have a vector
+and a bias of their own at every level, and P(w | context) is the product, down the tree, of the softmax of
+q Q[node] + b[node] over the siblings; a rarer word further has its smoothed share of their outcome. So a
+text's probability is normalised over all words, at a cost that grows with the LEVELS-th root of their number.
 
 Training (numpy): every task starts from the same parameters and goes once over the training tokens of its
-partition, telling each from NOISE shared draws of the unigram distribution; the tasks' parameters are
-averaged, weighted by their tokens, in a tree. Scoring: matrix products over the distinct contexts of a piece
-of text give all outcomes, hence the normaliser.
+partition. At each level it tells the node of the data from NOISE draws of the nodes' unigram distribution,
+shared by a batch. A row of parameters is averaged over the tasks by how often each has used it; blocks of
+rows are summed in a tree. Scoring takes matrix products over the tokens below each node.
 
-Word counts cover the whole training corpus. The HEAD most frequent words travel to the workers (bounded);
-all other words of a document join their counts by shuffle, so that no word goes without its count.
+Word counts cover the whole training corpus. Rarer words of a document join their counts by shuffle, so that no
+word goes without its count.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import fold, stage, table
-from cadastra.llm.words import pieces, texts
-
-HEAD = 150_000
-CLASSES = 512
-WIDTH = 32
-NOISE = 64
-BATCH = 4096
-RATE = 0.08
-#: Distinct words a counting task holds before it emits them.
-COUNTED = 400_000
+from cadastra.llm.common import fold, map_texts, stage, table
+
+#: Most words that are outcomes of their own, and the least count of one.
+WORDS, MIN_COUNT = 500_000, 5
+LEVELS = 3
+WIDTH = 16
+NOISE = 32
+BATCH = 2048
+RATE = 0.05
+#: Tokens that a counting task holds before it emits their counts.
+COUNTED = 4_000_000
+#: Rows of parameters that are averaged together, and tasks whose sums meet in a step.
+BLOCK, FAN = 1024, 64
 #: What stands for the end in the table of counts; no word has white space.
 END = b"\n"
 _OTHER, _END = 0, 1
+_TOP = 80
 _LOWER = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -46,106 +51,148 @@ def tokens(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(_LOWER).split()
 
 
+def split_column(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a column of texts, and where each text begins and the last ends."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    flat, bounds = parts.flatten(), parts.offsets.to_numpy()
+    full = pc.not_equal(flat, "")  # white space at the ends of a text leaves empty ones
+    return flat.filter(full), np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[bounds]
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """token, c: of all texts, the end included."""
 
     def run(batches):
-        counts: Counter = Counter()
+        held, n, ends = [], 0, 0
+
+        def counted():
+            found = pa.chunked_array(held, pa.string()).value_counts()
+            words = found.field("values").cast(pa.binary())
+            return pa.RecordBatch.from_arrays([words, found.field("counts").cast(pa.int64())], names=["token", "c"])
+
         for batch in batches:
-            for raw in texts(batch.column(0)):
-                counts.update(tokens(raw))
-            counts[END] += batch.num_rows
-            if len(counts) > COUNTED:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
-                counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
+            flat, _ = split_column(batch.column(0))
+            held.append(flat)
+            n, ends = n + len(flat), ends + batch.num_rows
+            if n > COUNTED:
+                yield counted()
+                held, n = [], 0
+        yield counted()
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["token", "c"])
 
-    return docs.select(text_col).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 0")
+    return map_texts(docs.select(text_col), run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-class LogBilinear:
-    """Parameters, NCE steps and normalised scores."""
+def _order(index: np.ndarray, n: int) -> np.ndarray:
+    """Places of indices below n in stable order; short integers are sorted by radix."""
+    return np.argsort(index.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
+
+
+def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct indices, the sums of their rows, and how many these are."""
+    order = _order(index, n)
+    at = index[order]
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[starts], np.add.reduceat(rows[order], starts, 0), np.diff(starts, append=len(at))
+
+
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Derivative of -log sigma(x)."""
+    return -1 / (1 + np.exp(np.clip(x, -30, 30)))
 
-    NAMES = ("R", "Q", "C1", "C2", "b")
 
-    def __init__(self, counts: np.ndarray, width: int = WIDTH, seed: int = 11):
+class LogBilinear:
+    """Parameters, NCE steps and normalised scores for outcomes with these counts, most frequent first."""
+
+    def __init__(self, counts: np.ndarray, width: int = WIDTH, levels: int = LEVELS, seed: int = 11):
         rng, n = np.random.default_rng(seed), len(counts)
-        self.noise = ((counts + 0.5) / (counts + 0.5).sum()).astype(np.float64)
+        self.n, self.width, self.levels = n, width, levels
+        self.branch = 2
+        while self.branch**levels < n:
+            self.branch += 1
+        smooth = (counts + 0.5) / (counts + 0.5).sum()
+        self.step_of = [self.branch ** (levels - 1 - d) for d in range(levels)]
+        #: Shares of the nodes of each level.
+        self.share = [np.add.reduceat(smooth, np.arange(0, n, s)) for s in self.step_of]
+        self.edges = [np.cumsum(p) for p in self.share]
+        self.shift = [np.log(NOISE * p).astype(np.float32) for p in self.share]
         self.R = rng.normal(0, 0.3, (n, width)).astype(np.float32)
-        self.Q = rng.normal(0, 0.05, (n, width)).astype(np.float32)
-        self.C1 = (np.eye(width) * 0.7).astype(np.float32)
-        self.C2 = (np.eye(width) * 0.3).astype(np.float32)
-        self.b = np.log(self.noise).astype(np.float32)
-
-    def pack(self) -> bytes:
-        return b"".join(getattr(self, k).astype("<f4").tobytes() for k in self.NAMES)
-
-    def unpack(self, raw: bytes | np.ndarray) -> LogBilinear:
-        flat, at = np.frombuffer(raw, "<f4") if isinstance(raw, bytes) else raw, 0
-        for k in self.NAMES:
-            old = getattr(self, k)
-            setattr(self, k, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
-        return self
-
-    def predict(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return self.R[w1] @ self.C1 + self.R[w2] @ self.C2
-
-    def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, rng: np.random.Generator, state: dict, rate: float = RATE) -> None:
-        """One NCE step on a batch; noise draws are shared by the batch. Adagrad."""
-        n, k = len(w), NOISE
-        fake = rng.choice(len(self.noise), k, p=self.noise)
-        r1, r2, shift = self.R[w1], self.R[w2], np.log(k * self.noise).astype(np.float32)
-        q = r1 @ self.C1 + r2 @ self.C2
-        qw, qf = self.Q[w], self.Q[fake]
-        real = np.einsum("ij,ij->i", q, qw) + self.b[w] - shift[w]
-        g_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))  # of -log sigma
-        false = q @ qf.T + (self.b[fake] - shift[fake])
-        g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        dq = g_real[:, None] * qw + g_false @ qf
-        scale = np.float32(1 / n)
-        dQ = _sums(len(self.Q), w, g_real[:, None] * q)
-        np.add.at(dQ, fake, g_false.T @ q)
-        db = np.bincount(w, g_real, len(self.b))
-        np.add.at(db, fake, g_false.sum(0))
-        dR = _sums(len(self.R), np.concatenate([w1, w2]), np.concatenate([dq @ self.C1.T, dq @ self.C2.T]))
-        for name, g in (("Q", dQ), ("b", db.astype(np.float32)), ("R", dR), ("C1", r1.T @ dq), ("C2", r2.T @ dq)):
-            g = g * scale
-            seen = state.setdefault(name, np.full(g.shape, 1e-6, np.float32))
-            seen += g * g
-            getattr(self, name)[...] -= rate * g / np.sqrt(seen)
+        self.C = np.stack([np.eye(width) * 0.3, np.eye(width) * 0.7]).astype(np.float32)
+        self.Q = [rng.normal(0, 0.02, (len(p), width + 1)).astype(np.float32) for p in self.share]
+        for q, p in zip(self.Q, self.share):
+            q[:, -1] = np.log(p)  # the bias: scores begin with the unigram shares
+
+    def parts(self) -> dict[str, np.ndarray]:
+        return {"R": self.R, "C": self.C.reshape(-1, self.width)} | {f"Q{d}": q for d, q in enumerate(self.Q)}
+
+    def predict(self, w2: np.ndarray, w1: np.ndarray) -> np.ndarray:
+        return self.R[w2] @ self.C[0] + self.R[w1] @ self.C[1]
+
+    def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, rng: np.random.Generator, state: dict, used: dict, rate: float = RATE) -> None:
+        """One NCE step on a batch, with Adagrad; used: how often each row has been."""
+        r2, r1 = self.R[w2], self.R[w1]
+        q = np.ones((len(w), self.width + 1), np.float32)  # the last column meets the bias
+        q[:, :-1] = r2 @ self.C[0] + r1 @ self.C[1]
+        dq = np.zeros_like(q)
+        grown = {}
+        for d in range(self.levels):
+            node, table, shift = w // self.step_of[d], self.Q[d], self.shift[d]
+            fake = np.minimum(np.searchsorted(self.edges[d], rng.random(NOISE)), len(shift) - 1)
+            real, false = table[node], table[fake]
+            g_real = _apart(np.einsum("ij,ij->i", q, real) - shift[node])[:, None]
+            g_false = 1 + _apart(q @ false.T - shift[fake])
+            real *= g_real
+            dq += real
+            dq += g_false @ false
+            grown[f"Q{d}"] = _sums(np.concatenate([node, fake]), np.concatenate([g_real * q, g_false.T @ q]), len(shift))
+        dq = dq[:, :-1]
+        grown["R"] = _sums(np.concatenate([w2, w1]), np.concatenate([dq @ self.C[0].T, dq @ self.C[1].T]), self.n)
+        grown["C"] = (np.arange(2 * self.width), np.concatenate([r2.T @ dq, r1.T @ dq]), len(w))
+        for name, whole in self.parts().items():
+            rows, g, times = grown[name]
+            if name not in state:
+                state[name], used[name] = np.full(whole.shape, 0.1, np.float32), np.zeros(len(whole), np.int64)
+            new = state[name][rows] + g * g
+            state[name][rows] = new
+            whole[rows] -= rate * g / np.sqrt(new)
+            used[name][rows] += times
 
     def log_probs(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Natural log of P(w | w2 w1), normalised over all classes."""
-        n = len(self.b)
-        code, back = np.unique(w2.astype(np.int64) * n + w1, return_inverse=True)
-        q = self.predict(code % n, code // n)
-        norm = np.empty(len(code), np.float32)
-        for at in range(0, len(code), BATCH):
-            s = q[at : at + BATCH] @ self.Q.T + self.b
-            top = s.max(1, keepdims=True)
-            norm[at : at + BATCH] = top[:, 0] + np.log(np.exp(s - top).sum(1))
+        """Natural log of P(w | w2 w1), normalised over all outcomes."""
         out = np.empty(len(w), np.float64)
-        for at in range(0, len(w), 16 * BATCH):
-            part = slice(at, at + 16 * BATCH)
-            out[part] = np.einsum("ij,ij->i", q[back[part]], self.Q[w[part]]) + self.b[w[part]] - norm[back[part]]
+        for at in range(0, len(w), 128 * BATCH):
+            part = slice(at, at + 128 * BATCH)
+            out[part] = self._log_probs(w2[part], w1[part], w[part])
         return out
 
-
-def _sums(n: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Rows summed by index."""
-    order = np.argsort(index, kind="stable")
-    at = index[order]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[at[starts]] = np.add.reduceat(rows[order], starts, 0)
-    return out
+    def _log_probs(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> np.ndarray:
+        order = _order(w // self.branch, len(self.share[-1]))
+        w = w[order]
+        q = np.empty((len(w), self.width + 1), np.float32)
+        q[:, :-1], q[:, -1] = self.predict(w2[order], w1[order]), 1
+        total, ones = np.zeros(len(w)), np.ones(self.branch, np.float32)
+        for d in range(self.levels):  # tokens below one parent stand together
+            node = w // self.step_of[d]
+            parent = node // self.branch
+            starts = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
+            norm, mine = np.empty(len(w), np.float32), np.empty(len(w), np.float32)
+            row = np.arange(len(w))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(w)]):
+                first = int(parent[a]) * self.branch
+                s = q[a:b] @ self.Q[d][first : first + self.branch].T
+                np.minimum(s, _TOP, out=s)  # no overflow below; scores begin under 0
+                mine[a:b] = s[row[: b - a], node[a:b] - first]
+                norm[a:b] = np.exp(s, out=s) @ ones[: s.shape[1]]
+            total += mine - np.log(norm)
+        out = np.empty(len(w))
+        out[order] = total
+        return out
 
 
-def contexts(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two classes before each token; the end stands before a text."""
-    w1, w2 = np.full(len(classes), _END), np.full(len(classes), _END)
-    w1[1:], w2[2:] = classes[:-1], classes[:-2]
+def contexts(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The outcome before each token and the one before that; the end stands before a text."""
+    w1, w2 = np.full(len(codes), _END), np.full(len(codes), _END)
+    w1[1:], w2[2:] = codes[:-1], codes[:-2]
     w1[bounds[:-1]] = _END
     w2[bounds[:-1]] = _END
     second = bounds[:-1] + 1
@@ -154,133 +201,150 @@ def contexts(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return w1, w2
 
 
-def _classed(raws: list[bytes | None], classes: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    split = [tokens(raw) for raw in raws]
-    bounds = np.cumsum([0, *(len(t) + 1 for t in split)])
-    get, out = classes.get, np.empty(bounds[-1], np.int64)
-    for t, a, b in zip(split, bounds, bounds[1:]):
-        out[a : b - 1] = [get(x, _OTHER) for x in t]
-        out[b - 1] = _END
-    return split, bounds, out
+def coded(column: pa.Array, vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, where texts begin among them, outcomes of all tokens, and where texts begin among those."""
+    flat, bounds = split_column(column)
+    code = pc.fill_null(pc.index_in(flat, vocabulary), _OTHER - 2).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    return flat, bounds, np.insert(code, bounds[1:], _END), bounds + np.arange(len(bounds))
+
 
+def train(docs: DataFrame, vocabulary: pa.Array, counts: np.ndarray, text_col: str = "text") -> LogBilinear:
+    """Parameters averaged over the tasks; the start where there is nothing to train on.
 
-def train(docs: DataFrame, vocabulary: dict[bytes, int], counts: np.ndarray, text_col: str = "text") -> LogBilinear:
-    """Parameters averaged over the tasks; the start where there is nothing to train on."""
+    A task's draws are seeded by its number: the same partitions give the same parameters.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, counts))
+    schema = "part int, name string, first int, used binary, sums binary"
+
+    def rows(part: int, sums: dict) -> list[tuple]:
+        """Blocks of rows, each with its use and the sums of what it has moved by, times its use."""
+        return [(part, name, a, u[a : a + BLOCK].tobytes(), x[a : a + BLOCK].tobytes()) for name, (u, x) in sums.items() for a in range(0, len(u), BLOCK)]
+
+    def as_batch(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["part", "name", "first", "used", "sums"])
 
     def run(batches):
-        known, class_counts = shared.value
-        model, state, seen = LogBilinear(class_counts), {}, 0
-        rng = np.random.default_rng(TaskContext.get().partitionId())
+        words, sizes = shared.value
+        task = TaskContext.get().partitionId()
+        model, state, used, rng = LogBilinear(sizes), {}, {}, np.random.default_rng(task)
         for batch in batches:
-            raws = texts(batch.column(0))
-            for start, end in pieces(raws):
-                _, bounds, w = _classed(raws[start:end], known)
-                w1, w2 = contexts(w, bounds)
-                order = rng.permutation(len(w))
-                for at in range(0, len(w), BATCH):
-                    part = order[at : at + BATCH]
-                    model.step(w2[part], w1[part], w[part], rng, state)
-                seen += len(w)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(np.frombuffer(model.pack(), "<f4").astype(np.float64) * seen).tobytes()], pa.binary())], names=["n", "sums"])
+            _, _, w, bounds = coded(batch.column(0), words)
+            w1, w2 = contexts(w, bounds)
+            order = rng.permutation(len(w))
+            for at in range(0, len(w), BATCH):
+                part = order[at : at + BATCH]
+                model.step(w2[part], w1[part], w[part], rng, state, used)
+        if used:
+            start = LogBilinear(sizes).parts()
+            moved = {name: (used[name].astype(np.float32), (x - start[name]) * used[name].astype(np.float32)[:, None]) for name, x in model.parts().items()}
+            for found in rows(task, moved):
+                yield as_batch([found])
 
     def add(batches):
-        n, sums = 0, None
+        """Sums of neighbouring rows of one block and group of tasks."""
+        key, used, sums = None, None, None
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, part = n + k, np.frombuffer(raw)
-                sums = part if sums is None else sums + part
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
+            for part, name, first, u, x in zip(*(c.to_pylist() for c in batch.columns)):
+                u, x = np.frombuffer(u, np.float32), np.frombuffer(x, np.float32)
+                if key == (part // FAN, name, first):
+                    used, sums = used + u, sums + x
+                    continue
+                if key:
+                    yield as_batch([(*key, used.tobytes(), sums.tobytes())])
+                key, used, sums = (part // FAN, name, first), u, x
+        if key:
+            yield as_batch([(*key, used.tobytes(), sums.tobytes())])
 
-    schema = "n long, sums binary"
     source = docs.select(text_col)
-    parts, left = source.mapInArrow(run, schema), source.rdd.getNumPartitions()
-    while left > 64:
-        left = -(-left // 64)
-        parts = parts.repartition(left).mapInArrow(add, schema)
-    rows = parts.collect()
-    model, total = LogBilinear(counts), sum(r[0] for r in rows)
-    return model.unpack((np.sum([np.frombuffer(r[1]) for r in rows], 0) / total).astype(np.float32)) if total else model
-
-
-def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, classes: int = CLASSES) -> DataFrame:
+    found, left = map_texts(source, run, schema), source.rdd.getNumPartitions()
+    while True:
+        group = F.floor(F.col("part") / FAN)
+        found = found.repartition("name", "first", group).sortWithinPartitions("name", "first", "part")
+        found = map_texts(found, add, schema)
+        left = -(-left // FAN)
+        if left <= 1:
+            break
+    model = LogBilinear(counts)
+    parts = model.parts()
+    for r in found.collect():  # one row per block of parameters
+        u = np.frombuffer(r["used"], np.float32)
+        x = np.frombuffer(r["sums"], np.float32).reshape(len(u), -1)
+        parts[r["name"]][r["first"] : r["first"] + len(u)] += x / np.maximum(u, 1)[:, None]
+    return model
+
+
+def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """One row per row of docs: id, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Counts and the model come from training. Null text is empty: the end alone. Repeated rows are scored each.
-    Without training rows every token has the same share of the base score's smoothing.
+    Without training rows every token has the same share of the base score's smoothing; an empty docs table
+    gives an empty result. Words of one count are outcomes together or not at all.
     """
     spark = docs.sparkSession
     counts = stage(word_counts(training, text_col), "word-counts")
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    top = counts.orderBy(F.col("c").desc(), "token").limit(head).toArrow()
-    top_words, top_counts = top["token"].to_pylist(), top["c"].to_pylist()
-    ends = counts.where(F.col("token") == F.lit(END)).first()
+    frequent = (F.col("c") >= min_count) & (F.col("c") * words >= total)  # words of them at most
+    is_end = F.col("token") == F.lit(END)
+    chosen = counts.where(frequent & ~is_end).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
+    ends = counts.where(is_end).first()
     n_ends = int(ends["c"]) if ends else 0
-    chosen = [(w, c) for w, c in zip(top_words, top_counts) if w != END][: classes - 2]
-    vocabulary = {w: k + 2 for k, (w, _) in enumerate(chosen)}
-    inside = sum(c for _, c in chosen) + n_ends
-    class_counts = np.array([total - inside, n_ends, *(c for _, c in chosen)], np.float64)
-    model = train(training, vocabulary, class_counts, text_col)
+    own = chosen["c"].to_numpy().astype(np.float64)
+    inside = int(own.sum()) + n_ends
+    vocabulary = chosen["token"].combine_chunks().cast(pa.string()) if len(own) else pa.array([], pa.string())
+    outcomes = np.concatenate([[total - inside, n_ends], own])
+    model = train(training, vocabulary, outcomes, text_col)
 
     base_norm = total + 0.5 * (distinct + 1)
-    rest = distinct - len(chosen) - (n_ends > 0)
-    other_norm = total - inside + 0.5 * (rest + 1)
-    logs = {w: (float(np.log10((c + 0.5) / base_norm)), 0.0 if w in vocabulary else float(np.log10((c + 0.5) / other_norm))) for w, c in zip(top_words, top_counts) if w != END}
-    end_log = float(np.log10((n_ends + 0.5) / base_norm))
-    shared = spark.sparkContext.broadcast((vocabulary, class_counts, model.pack(), logs))
+    other_norm = total - inside + 0.5 * (distinct - len(own) - (n_ends > 0) + 1)
+    # rarer words get theirs by the join
+    base_log = np.concatenate([[0.0, np.log10((n_ends + 0.5) / base_norm)], np.log10((own + 0.5) / base_norm)])
+    known = np.concatenate([[0, int(n_ends > 0)], np.ones(len(own), np.int64)]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((vocabulary, model, base_log, known))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        known, sizes, packed, log = shared.value
-        lbl, task, serial = LogBilinear(sizes).unpack(packed), TaskContext.get().partitionId(), 0
+        vocab, lbl, log, seen = shared.value
+        task, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
-            raws = texts(batch.column(1))
-            for start, end in pieces(raws):
-                split, bounds, w = _classed(raws[start:end], known)
-                w1, w2 = contexts(w, bounds)
-                parts = np.add.reduceat(lbl.log_probs(w2, w1, w), bounds[:-1]) / np.log(10)
-                uids, keys, times, owners, base, score, n_tokens, n_known = [], [], [], [], [], [], [], []
-                for i, found in enumerate(split):
-                    uid, tail, b, s, k = task << 33 | serial, [], end_log, float(parts[i]), int(n_ends > 0)
-                    serial += 1
-                    for word, n in Counter(found).items():
-                        x = log.get(word)
-                        if x is None:
-                            tail.append((word, n))
-                        else:
-                            b += n * x[0]
-                            s += n * x[1]
-                            k += n
-                    uids += [uid] * (len(tail) + 1)
-                    keys += [END + uid.to_bytes(8, "big"), *(t[0] for t in tail)]  # a key of its own: no word
-                    times += [0, *(t[1] for t in tail)]
-                    owners += [start + i] + [None] * len(tail)
-                    zeros = [0] * len(tail)
-                    base += [b, *zeros]
-                    score += [s, *zeros]
-                    n_tokens += [len(found) + 1, *zeros]
-                    n_known += [k, *zeros]
-                longs = lambda x: pa.array(x, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [longs(uids), pa.array(keys, pa.binary()), longs(times), batch.column(0).take(longs(owners)), pa.array(base, pa.float64()), pa.array(score, pa.float64()), longs(n_tokens), longs(n_known)],
-                    names=["uid", "token", "times", "doc", "base", "score", "n_tokens", "n_known"],
-                )
-
-    rows = docs.select(id_col, text_col).mapInArrow(run, f"uid long, token binary, times long, doc {id_type}, base double, score double, n_tokens long, n_known long")
-    last = (top_counts[-1], top_words[-1]) if top_words else (0, b"")
-    beyond = counts.where((F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("token") > F.lit(last[1]))))
-    found = rows.join(beyond.hint("merge"), "token", "left")
+            if not batch.num_rows:
+                continue
+            flat, words_at, w, bounds = coded(batch.column(1), vocab)
+            w1, w2 = contexts(w, bounds)
+            per_text = lambda x: np.add.reduceat(x, bounds[:-1])
+            uids = (task << 33) + serial + np.arange(batch.num_rows)
+            serial += batch.num_rows
+            text_of = np.repeat(np.arange(batch.num_rows), np.diff(words_at))
+            rare = np.flatnonzero(np.delete(w, bounds[1:] - 1) == _OTHER)
+            zeros = np.zeros(len(rare))
+            longs = lambda x: pa.array(x.astype(np.int64))
+            # a text's own row has a key of its own: no word
+            own_keys = pa.array([END + u.to_bytes(8, "big") for u in uids.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    longs(np.append(uids, uids[text_of[rare]])),
+                    pa.concat_arrays([own_keys, flat.take(pa.array(rare)).cast(pa.binary())]),
+                    pa.concat_arrays([batch.column(0), pa.nulls(len(rare), batch.column(0).type)]),
+                    pa.array(np.append(per_text(log[w]), zeros)),
+                    pa.array(np.append(per_text(lbl.log_probs(w2, w1, w)) / np.log(10), zeros)),
+                    longs(np.append(np.diff(bounds), zeros)),
+                    longs(np.append(per_text(seen[w]), zeros)),
+                ],
+                names=["uid", "token", "doc", "base", "score", "n_tokens", "n_known"],
+            )
+
+    rows = map_texts(docs.select(id_col, text_col), run, f"uid long, token binary, doc {id_type}, base double, score double, n_tokens long, n_known long")
+    found = rows.join(counts.where(~frequent & ~is_end).hint("merge"), "token", "left")
+    rare = F.col("n_tokens") == 0
     c = F.coalesce(F.col("c"), F.lit(0)) + 0.5
     found = found.select(
         "uid",
         "doc",
         "n_tokens",
-        (F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.col("times") * F.log10(c / F.lit(base_norm))).alias("base"),
-        (F.col("score") + F.col("times") * F.log10(c / F.lit(other_norm))).alias("score"),
+        (F.col("n_known") + F.col("c").isNotNull().cast("long")).alias("n_known"),
+        (F.col("base") + F.when(rare, F.log10(c / F.lit(base_norm))).otherwise(0.0)).alias("base"),
+        (F.col("score") + F.when(rare, F.log10(c / F.lit(other_norm))).otherwise(0.0)).alias("score"),
     )
     # only a document's own row has its id
     out = found.groupBy("uid").agg(F.max("doc").alias(id_col), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
