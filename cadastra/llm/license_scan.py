@@ -10,16 +10,17 @@ notice are not errors. Beside that, three short phrases are searched exactly (th
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from bisect import bisect_left
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cadastra.llm.common import table
+from cadastra.llm.common import map_texts, table, worker_state
 from cadastra.llm.words import WORD_TABLE, texts
 
 #: Base phrases and their labels.
@@ -118,12 +119,14 @@ class Scanner:
                 for m in self.matches(n, flat, max(0, start), min(len(flat), end)):
                     edits = sum(m.fuzzy_counts)
                     found.append((label, m.start(), m.end(), edits, 1 - edits / length))
-        found.sort(key=lambda x: (-x[4], x[1] - x[2], x[1], x[0]))
-        out: list[tuple[str, int, int, int, float]] = []
+        found = sorted(set(found), key=lambda x: (-x[4], x[1] - x[2], x[1], x[0]))
+        starts_, out = [], []  # kept finds by place; no two overlap
         for f in found:
-            if not any(o[1] < f[2] and f[1] < o[2] for o in out):
-                out.append(f)
-        return sorted(out, key=lambda x: (x[1], x[0]))
+            k = bisect_left(starts_, f[2])
+            if not k or out[k - 1][2] <= f[1]:
+                starts_.insert(k, f[1])
+                out.insert(k, f)
+        return out
 
     def scan(self, raw: bytes):
         """Number of words, places of base phrases, notices as (label, first word, start, end, edits, similarity); offsets count bytes of the text."""
@@ -131,22 +134,20 @@ class Scanner:
         tokens = spaced.split()
         base = self.phrases(spaced)
         flat = b" ".join(tokens).decode("latin-1")
-        spans = []
-        for label, start, end, edits, similarity in self.fuzzy(flat):
+        found, spans = self.fuzzy(flat), []
+        if found:
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            ends = np.cumsum(sizes + 1) - 1  # of the words in flat
+            starts = ends - sizes
+            space = np.frombuffer(spaced, np.uint8) == 0x20
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))  # of the words in the text
+        for label, start, end, edits, similarity in found:
             # an edit may have taken in the spaces around the notice
-            start += len(flat[start:end]) - len(flat[start:end].lstrip())
-            end -= len(flat[start:end]) - len(flat[start:end].rstrip())
-            first, last = flat.count(" ", 0, start), flat.count(" ", 0, max(start, end - 1))
-            bounds = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", spaced)][first : last + 1]
-            spans.append((label, first, bounds[0][0], bounds[-1][1], edits, similarity))
+            first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(starts, end, "left")) - 1
+            spans.append((label, first, int(edges[2 * first]), int(edges[2 * last + 1]), edits, similarity))
         return len(tokens), base, spans
 
 
-@lru_cache(2)
-def _scanner(notices, phrases, chars_per_error) -> Scanner:
-    return Scanner(notices, phrases, chars_per_error)
-
-
 SPAN = "struct<label:string,first_word:bigint,start:bigint,end:bigint,edits:bigint,similarity:double,found:string>"
 PLACE = "struct<label:string,word:bigint>"
 
@@ -154,8 +155,9 @@ PLACE = "struct<label:string,word:bigint>"
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, phrases=PHRASES, chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
     """id, n_words, places (of base phrases), spans (of notices with at most the allowed edits, and their text).
 
-    Spans are byte ranges of the UTF-8 text. Null text counts as empty and holds nothing. Repeated rows give
-    repeated results.
+    Spans are byte ranges of the UTF-8 text. Of finds that overlap the most similar stays, then the longest, the
+    first, and the first by label. Null text counts as empty and holds nothing. Repeated rows give repeated
+    results; an empty table gives an empty result. Time grows with the text's length and finds alone.
     """
     spark = docs.sparkSession
     key = (tuple(notices), tuple(phrases), chars_per_error)
@@ -164,7 +166,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place, span = target.field("places").type, target.field("spans").type
 
     def run(batches):
-        scanner = _scanner(*key)
+        scanner = worker_state(("scanner", *key), lambda: Scanner(*key))
         for batch in batches:
             counts, places, spans = [], [], []
             for raw in texts(batch.column(1)):
@@ -179,7 +181,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(places, place), pa.array(spans, span)], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_texts(docs.select(id_col, text_col), run, schema)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
