@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cadastra.llm.common import table
+from cadastra.llm.common import map_texts, table
 from cadastra.llm.words import WordHashes, pieces, shingle_hashes, texts, words
 
 WIDTH = 5
@@ -42,7 +42,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, bytes]], threshold: float = THRESHOLD, width: int = WIDTH):
         self.threshold = threshold
-        self.items: list[tuple[object, int, frozenset]] = []
+        self.items: list[tuple[object, int, frozenset, np.ndarray]] = []
         found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         memo = WordHashes()
         for item_id, raw in items:
@@ -51,13 +51,14 @@ class ItemIndex:
                 continue
             k = min(width, len(w))
             hashes = shingle_hashes(memo.of(w), k)
-            n = len(np.unique(hashes))
+            hashes = np.unique(hashes)
+            n = len(hashes)
             upper = (1 << n.bit_length()) - 1  # of the size partition that n is in
-            signature = np.unique(hashes)[: upper - required(upper, threshold) + 1]
+            signature = hashes[: upper - required(upper, threshold) + 1]
             shingles = frozenset(zip(*(w[j:] for j in range(k))))
             for h in signature.tolist():
                 found[k][h].append(len(self.items))
-            self.items.append((item_id, k, shingles))
+            self.items.append((item_id, k, shingles, hashes))
         self.tables = {}
         for k, by_hash in found.items():
             values = np.array(sorted(by_hash), np.uint64)
@@ -87,12 +88,16 @@ class ItemIndex:
                 inside = at + k <= edges[row + 1]  # a shingle doesn't reach into the next text
                 for r, s in zip(row[inside].tolist(), slot[inside].tolist()):
                     candidates.update((r, q) for q in owners[s])
-            sets: dict[tuple[int, int], set] = {}
+            places: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
             for r, q in sorted(candidates):
-                _, k, shingles = self.items[q]
-                if (r, k) not in sets:
-                    sets = {(r, k): set(zip(*(tokens[bounds[r] + j : bounds[r + 1]] for j in range(k))))}
-                shared = len(shingles & sets[r, k])
+                _, k, shingles, own = self.items[q]
+                first, end = bounds[r], bounds[r + 1]
+                if (r, k) not in places:
+                    places = {(r, k): np.unique(shingle_hashes(hashes[first:end], k), return_index=True)}
+                values, at = places[r, k]
+                slot = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                found = at[slot[values[slot] == own]] + first  # a place of each shingle of the item that may be there
+                shared = len(shingles & {tuple(tokens[i : i + k]) for i in found.tolist()})
                 if shared >= required(len(shingles), self.threshold):
                     yield start + r, q, shared
 
@@ -151,7 +156,7 @@ def find_items(
                     names=schema.names,
                 )
 
-        part = docs.select(id_col, text_col).mapInArrow(search, schema)
+        part = map_texts(docs.select(id_col, text_col), search, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -172,7 +177,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = map_texts(docs, clean, schema)
     return docs
 
 
