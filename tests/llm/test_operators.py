@@ -4,10 +4,13 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +144,15 @@ def test_decontaminate(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in rows if i not in {x for x, *_ in want})
 
 
+def test_items_in_a_long_text(spark):
+    rng = random.Random(16)
+    long = prose(rng, 200_000)
+    w = long.split()
+    items = [(k, " ".join(w[a : a + 40])) for k, a in enumerate((0, 99_000, 199_960))] + [(7, prose(rng, 40))]
+    got = decontaminate.find_items(frame(spark, [(1, long, "en", "a")]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.item_id, r.containment) for r in got) == [(0, 1.0), (1, 1.0), (2, 1.0)]
+
+
 def test_token_store_round_trip(spark, corpus, tmp_path):
     docs, path = frame(spark, corpus), str(tmp_path / "store")
     vocabulary = token_store.tokenizer_file()
@@ -219,12 +231,28 @@ def test_cross_parsing(spark):
     model = "".join(rng.choice("abcd e") for _ in range(400))
     model = langid.normalise(model)
     parser = langid.CrossParser({"x": model, "y": langid.normalise("zzzz yyy www")})
-    texts = [langid.normalise("".join(rng.choice("abcd e") for _ in range(n))) for n in (1, 30, 255)]
+    texts = [langid.normalise("".join(rng.choice("abcd e") for _ in range(n))) for n in (1, 30, 255, 256, 257, 5000, 20000)] + [model, model + model, langid.normalise("a?zq?b" * 300), ""]
     counts, lengths, letters = parser.phrases([t.encode() for t in texts])
     assert counts[0].tolist() == [phrases_by_hand(t, model) for t in texts]
     assert lengths.tolist() == [len(t) for t in texts]
 
 
+def test_cross_parsing_of_large_alphabets():
+    """Every letter of a model counts, whatever their number; others are phrases by themselves."""
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + k) for k in range(1500)]
+    zh, other = ("".join(rng.choice(part) for _ in range(6000)) for part in (letters[:700], letters[600:]))
+    en = langid.normalise(prose(rng, 900))
+    parser = langid.CrossParser({"en": en, "zh": zh, "zz": other})
+    rare = "".join(zh[a : a + 2] for a in (rng.randrange(5990) for _ in range(2000)) if min(zh[a : a + 2]) >= letters[300])
+    texts = [rare, zh, zh[100:400] + "Ω" + zh[20:900], en[50:3000]]
+    counts, _, _ = parser.phrases([t.encode() for t in texts])
+    models = {"en": en, "zh": zh, "zz": other}
+    for k, name in enumerate(parser.languages):
+        assert counts[k].tolist() == [phrases_by_hand(langid.normalise(t), models[name]) for t in texts]
+    assert counts[1][1] == 1 and parser.identify([t.encode() for t in texts])[0] == ["zh", "zh", "zh", "en"]
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     kinds = {"aa": "lo ra mi na".split(), "bb": "sch tz ur ech".split()}
@@ -237,6 +265,12 @@ def test_language_id(spark):
     kept = langid.in_a_language(docs, langid.samples(docs))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got) - {500, 501, 502}
     assert {r.lang_pred for r in langid.identify(docs, ()).collect()} == {"und"}
+    blank = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    named = {r.doc_id: r.lang for r in langid.in_a_language(blank, langid.samples(docs)).collect()}
+    assert all(named[i] == (k if i % 2 == 0 else got[i].lang_pred) for i, _, k, _ in rows)
+    twice = docs.unionByName(docs)
+    assert [k for k, _ in langid.samples(twice)] == ["aa", "bb"]
+    assert {r.doc_id for r in langid.in_a_language(docs, ()).collect()} == set(got) - {500, 501, 502}
 
 
 def test_license_scan(spark):
@@ -273,6 +307,61 @@ def test_every_notice_is_found_within_its_errors():
             assert label in {s[0] for s in scanner.scan(f"zz {''.join(chars)} zz".encode())[2]}
 
 
+def least_edits(notice, text):
+    """Fewest edits between notice and any part of text, and that part's end (Sellers)."""
+    row = list(range(len(notice) + 1))
+    best = row[-1]
+    for c in text:
+        diagonal, row[0] = row[0], 0
+        for k, x in enumerate(notice, 1):
+            diagonal, row[k] = row[k], min(diagonal + (x != c), row[k] + 1, row[k - 1] + 1)
+        best = min(best, row[-1])
+    return best
+
+
+def test_notices_against_edit_distance():
+    """What is found has the edits it claims at most, and texts without finds are beyond the bound for all notices."""
+    rng = random.Random(15)
+    notices = [(n, label) for n, label in license_scan.NOTICES if len(n) < 60]
+    scanner, allowed = license_scan.Scanner(notices), {n: len(n) // license_scan.CHARS_PER_ERROR for n, _ in notices}
+    for _ in range(120):
+        notice, label = rng.choice(notices)
+        chars = list(notice)
+        for _ in range(rng.randint(0, allowed[notice] + 2)):
+            at = rng.randrange(len(chars))
+            kind = rng.randrange(3)
+            chars[at : at + (kind != 1)] = [] if kind == 0 else [rng.choice("abcxyz")]
+        text = " ".join(f"{prose(rng, 3)} {''.join(chars)} {prose(rng, 2)}".replace(".", " ").split())
+        spans = scanner.scan(text.encode())[2]
+        found = {s[0] for s in spans}
+        near = {x for n, x in notices if least_edits(n, text) <= allowed[n]}
+        assert found <= near and bool(found) == bool(near), text
+        for name, _, a, b, edits, similarity in spans:
+            assert min(least_edits(n, text[max(0, a - 2) : b + 2]) for n, x in notices if x == name) <= edits and 0 < similarity <= 1
+
+
+def test_many_notices_take_linear_time():
+    scanner = license_scan.Scanner()
+    started = time.process_time()
+    spans = scanner.scan(b"All rights reserved. Licensed under the Apache Licence, Version 2.0; " * 5000)[2]
+    assert len(spans) == 10_000 and time.process_time() - started < 5
+
+
+def test_base_columns_against_sql(spark):
+    path = "/root/testdata/sf0.001"
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    got = sorted(map(tuple, license_scan.op3_license_scan(spark, path).select(*columns).collect()))
+    want = duckdb.sql(
+        rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM '{path}/documents.parquet'),
+        p AS (SELECT * FROM (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) v(words, label)),
+        f AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d), p WHERE w[i + 1:i + len(words)] = words)
+        SELECT d.doc_id, len(w)::BIGINT, count(f.i), min(f.i), max(f.i), coalesce(array_to_string(list_sort(list_distinct(list(f.label) FILTER (f.label IS NOT NULL))), ','), '')
+        FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id, len(w)"""
+    ).fetchall()
+    assert got == sorted(want) and sum(r[2] for r in got) > 0
+
+
 def test_substring_dedup(spark):
     rng = random.Random(7)
     passage = ". ".join(prose(rng, 12).replace(".", "") for _ in range(5)) + ". "
@@ -290,6 +379,67 @@ def test_substring_dedup(spark):
         assert got[i][0].clean_text == text[i]
 
 
+def spans_by_hand(rows, min_words):
+    """(id, removed positions) by comparing every run with all others; rows: id, text."""
+    held = []
+    for i, text in rows:
+        parts = substring_dedup.sentences((text or "").encode())
+        assert b"".join(parts) == (text or "").encode()
+        forms = [tuple(p.split()) for p in parts]
+        for a in range(len(forms)):
+            for b in range(a + 1, len(forms) + 1):
+                if sum(map(len, forms[a:b])) >= min_words:
+                    held.append((i, a, b, tuple(forms[a:b])))
+                    break
+    gone = defaultdict(set)
+    for i, a, b, run in held:
+        same = [(j, c) for j, c, _, other in held if other == run]
+        first = min(j for j, _ in same)
+        if i != first or (i, a) != min(x for x in same if x[0] == i):
+            gone[i] |= set(range(a, b))
+    return gone
+
+
+def test_passages_cut_anywhere(spark):
+    """A passage of over 50 words that begins and ends inside sentences goes, but for its edges; short repeats stay."""
+    rng = random.Random(12)
+    letters = "abdeilnorstu"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(1, 9)))
+    text = lambda n, mark: " ".join(word() + ("" if rng.random() > mark else rng.choice([".", ",", "?\n"])) for _ in range(n))
+    passages = [text(n, mark) for n, mark in ((60, 0.2), (60, 0.05), (80, 0.0), (55, 0.3))]
+    common = "Home. About us. All news."
+    rows = []
+    for k in range(60):
+        parts = [text(rng.randint(0, 40), 0.1), common if k % 3 else "", text(rng.randint(1, 30), 0.1)]
+        parts.insert(rng.randint(0, 2), rng.choice(passages) if k % 2 else "")
+        rows.append((k, " ".join(parts)))
+    rows += [(100, None), (101, ""), (102, "one. " * 200), (103, "word " * 500), (104, "..!?\n\n  "), (105, " lead. é " + passages[0] + " ü"), (106, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = spans_by_hand(rows, substring_dedup.MIN_WORDS)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
+    assert {i: set(r.cut) for i, r in got.items() if r.cut} == {i: g for i, g in want.items() if g}
+    seen, left = set(), {}
+    for i, t in rows[:60]:
+        for p in passages:
+            if p in t:
+                if p in seen:
+                    left.setdefault(i, 0)
+                    left[i] += len(set(p.split()) & set(got[i].clean_text.split())) / len(set(p.split()))
+                seen.add(p)
+        if not any(p in t for p in passages):
+            assert got[i].clean_text == t
+    assert len(left) > 20 and sum(left.values()) / len(left) < 0.35
+
+
+def test_versions_of_one_id(spark):
+    rng = random.Random(13)
+    a, b = (". ".join(prose(rng, 9).replace(".", "") for _ in range(6)) + "." for _ in range(2))
+    rows = [(1, a), (1, a + " " + b), (1, a), (2, b), (None, a), (None, b)]
+    got = [(r.doc_id, r.clean_text) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    key = lambda r: (r[0] is None, str(r))
+    assert sorted(got, key=key) == sorted([(1, a), (1, a + " " + b), (1, a), (2, ""), (None, ""), (None, "")], key=key)
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "How do I cook rice?\nTell me please"),
@@ -306,17 +456,17 @@ def test_quotes(spark):
     assert got == [
         (None, None, "a > b", None, False, None, None),
         (1, 0, "How do I cook rice?\nTell me please", None, False, 0, 0),
+        (1, 1, "Boil it for ten minutes.", 0, False, 0, 1),
         (1, 2, "I also ask", 0, True, 0, 1),
-        (1, 1, "Boil it for ten minutes.", 0, False, 1, 0),
-        (1, 3, "", 1, True, 1, 1),
-        (1, 3, "Yes", 1, True, 1, 1),
+        (1, 3, "", 1, True, 0, 2),
+        (1, 3, "Yes", 1, True, 0, 2),
         (2, 5, "", None, False, 5, 0),
-        (2, 9, "hm", 5, False, 9, 0),
+        (2, 9, "hm", 5, False, 5, 1),
     ]
     schema = "conv_id long, turn int, role string, text string"
     apart = spark.createDataFrame([(1, k * 3, "user", "x") for k in range(2500)], schema)
     last = quotes.link_conversations(apart).where("turn = 7497").first()
-    assert (last.reply_to, last.root, last.depth) == (7494, 7497, 0)
+    assert (last.reply_to, last.root, last.depth) == (7494, 0, 2499)
     chain = spark.createDataFrame([(1, k, "user", f"> message number {k - 1}\nmessage number {k}") for k in range(40)], schema)
     assert [(r.turn, r.text, r.reply_to, r.root, r.depth) for r in quotes.link_conversations(chain).collect()] == [(k, f"message number {k}", k - 1 if k else None, 0, k) for k in range(40)]
     assert quotes.link_conversations(m.limit(0)).count() == 0
@@ -387,29 +537,79 @@ def test_lm_scores(spark, corpus):
         if zlib.crc32(str(i).encode()) % 5 != 1:
             counts.update([*lm_score.tokens((t or "").encode()), lm_score.END])
     n, v = sum(counts.values()), len(counts)
-    for head in (10, 100_000):
-        got = sorted(lm_score.score_texts(docs, training, head=head, classes=16).collect(), key=lambda r: r.doc_id)
+    for words_, least in ((10, 1), (100_000, 1), (100_000, 3)):
+        got = sorted(lm_score.score_texts(docs, training, words=words_, min_count=least).collect(), key=lambda r: r.doc_id)
         assert len(got) == len(corpus)
+        own_words = sorted((w for w, c in counts.items() if c >= least and c * words_ >= n and w != lm_score.END), key=lambda w: (-counts[w], w))
+        outcomes = np.array([sum(c for w, c in counts.items() if w not in {*own_words, lm_score.END}), counts[lm_score.END], *(counts[w] for w in own_words)], float)
+        vocabulary = pa.array([w.decode() for w in own_words], pa.string())
+        model = lm_score.train(training, vocabulary, outcomes)
+        number = {w: k + 2 for k, w in enumerate(own_words)} | {lm_score.END: 1}
+        rare = [counts[w] for w in counts if w not in number]
         for r, (i, t, *_) in zip(got, sorted(corpus, key=lambda r: r[0])):
             own = [*lm_score.tokens((t or "").encode()), lm_score.END]
             assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (i, len(own), sum(counts[w] > 0 for w in own), n)
             assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
-            assert r.score < 0
-
-
-def test_lm_is_normalised_and_learns():
+            if len(own) > 150:
+                continue
+            want, before = 0.0, [1, 1]
+            for w in own:
+                k = number.get(w, 0)
+                want += math.log10(probability(model, *before, k))
+                if not k:
+                    want += math.log10((counts[w] + 0.5) / (sum(rare) + 0.5 * (len(rare) + 1)))
+                before = [before[1], k]
+            assert math.isclose(r.score, want, rel_tol=1e-4)
+
+
+def probability(model, w2, w1, w):
+    """By the definition: down the tree, the share of the node among its siblings."""
+    q, out = model.R[w2].astype(float) @ model.C[0] + model.R[w1].astype(float) @ model.C[1], 1.0
+    for d in range(model.levels):
+        node = w // model.branch ** (model.levels - 1 - d)
+        first = node // model.branch * model.branch
+        s = np.exp(model.Q[d][first : first + model.branch, :-1] @ q + model.Q[d][first : first + model.branch, -1])
+        out *= s[node - first] / s.sum()
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 3, 12, 50, 64, 65])
+def test_lm_is_normalised_and_learns(n):
     rng = np.random.default_rng(3)
-    counts = np.full(12, 100.0)
-    model, state = lm_score.LogBilinear(counts), {}
-    w1 = rng.integers(0, 12, 20000)
-    w = np.where(rng.random(20000) < 0.9, (w1 + 1) % 12, rng.integers(0, 12, 20000))  # mostly the next class
-    w2 = rng.integers(0, 12, 20000)
+    counts = np.full(n, 100.0)
+    model, state, used = lm_score.LogBilinear(counts), {}, {}
+    w1 = rng.integers(0, n, 40000)
+    w = np.where(rng.random(40000) < 0.9, (w1 + 1) % n, rng.integers(0, n, 40000))  # mostly the next one
+    w2 = rng.integers(0, n, 40000)
     before = model.log_probs(w2, w1, w).mean()
-    for at in range(0, 20000, 500):
-        model.step(w2[at : at + 500], w1[at : at + 500], w[at : at + 500], rng, state)
-    assert model.log_probs(w2, w1, w).mean() > before + 0.5
-    total = sum(np.exp(model.log_probs(np.array([3]), np.array([4]), np.array([k])))[0] for k in range(12))
-    assert math.isclose(total, 1, rel_tol=1e-4)
+    for at in range(0, 40000, 200):
+        model.step(w2[at : at + 200], w1[at : at + 200], w[at : at + 200], rng, state, used)
+    assert model.log_probs(w2, w1, w).mean() > before + (0.5 if n > 2 else 0.2)
+    total = sum(np.exp(model.log_probs(np.array([1]), np.array([n - 1]), np.array([k])))[0] for k in range(n))
+    assert math.isclose(total, 1, rel_tol=1e-4) and math.isclose(total, sum(probability(model, 1, n - 1, k) for k in range(n)), rel_tol=1e-4)
+    assert all(used[k].sum() >= 40000 for k in ("R", "Q0", "Q1", "Q2"))
+
+
+def test_lm_beats_single_words_on_held_out_texts(spark):
+    rng = random.Random(14)
+    chain = {f"w{k}": [f"w{rng.randrange(300)}" for _ in range(3)] for k in range(300)}
+
+    def walk(n):
+        out = ["w0"]
+        while len(out) < n:
+            out.append(rng.choice(chain[out[-1]]))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(k, walk(rng.randint(50, 400))) for k in range(1500)], "doc_id long, text string").repartition(3)
+    scored = lm_score.score_texts(docs, docs.where(lm_score.fold() != 1)).where(lm_score.fold() == 1)
+    row = scored.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (row.s - row.b) / row.n > 0.3  # a factor of two for every token
+
+
+def test_words_of_columns():
+    texts = [None, "", " a  B\tc\n", "\x0bX\x0cy\r", "É À zz q \x1c w\u00a0v\u2003u", "a"]
+    flat, bounds = lm_score.split_column(pa.array(texts))
+    assert [[x.encode() for x in flat[a:b].to_pylist()] for a, b in itertools.pairwise(bounds.tolist())] == [lm_score.tokens((t or "").encode()) for t in texts]
 
 
 @pytest.mark.parametrize("extra", [False, True])
