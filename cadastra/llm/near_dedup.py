@@ -10,30 +10,38 @@ the band of that half-width loses nothing.
 
 Texts of the same words collapse first (128-bit hash of the word sequence); from there on one representative
 stands for its copies, and copies are never paired. Buckets are not expanded into pairs at once either:
-members whose size leaves no possible partner in the bucket go (partner_sizes), then in each round every bucket
-compares its members to one of them, the pivot, and members that are already linked need no comparison. After
-ROUNDS rounds the members of buckets that still hold several components are all compared: blocks of them count
-their common k-mers by matrix products, and pairs with enough are aligned, so that no link is lost. Components are found by hooking to the smallest label and pointer doubling.
+members whose size leaves no possible partner in the bucket go (partner_sizes). Then every bucket compares its
+members to one of them, the pivot, which is the one with the smallest share of k-mers of its own: the original
+of edited copies rather than one of them. What is still in buckets of several components is joined on its
+rarest shared k-mers (kmer_pairs): a pair that is similar enough must have one of them in common, so no
+link is lost. Alignments take the k-mers' hashes, never the texts. Components are found by hooking to the
+smallest label and pointer doubling.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadastra.llm.common import stage, table, unstage
+from cadastra.llm.common import map_texts, stage, table, unstage
 from cadastra.llm.words import WordHashes, mix, pieces, shingle_hashes, texts, words
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS, ELL = 14, 2, 2
-ROUNDS = 2
-#: Members of a bucket that are compared to as many others at once.
-BLOCK = 128
+#: Rounds of pivots, and the shares of the rarest k-mers that are joined after them; the last one must be 1.
+ROUNDS = 1
+SHARES = (0.1, 1.0)
+#: Edges and labels, and pairs to align, that a task works on where tables are small.
+ROWS_PER_TASK, PAIRS_PER_TASK = 50_000, 1000
 #: Rows of the alignment that share a window.
 _STRIP = 256
 
@@ -47,6 +55,7 @@ def banded_lcs(a: list, b: list, half: int) -> int:
     """Longest common subsequence of a and b over matches at most half off the diagonal.
 
     Bit-parallel: one row per element of b, one bit per element of a in the window, 0 where the length grows.
+    The places of an element in the window are gathered once per strip of rows, so repeats cost no more.
     """
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
@@ -61,6 +70,7 @@ def banded_lcs(a: list, b: list, half: int) -> int:
     for i, x in enumerate(a):
         at.setdefault(x, []).append(i)
     found, base, v, width = 0, 0, 0, 0
+    near = (1 << (2 * half + 1)) - 1
     for start in range(0, len(b), _STRIP):
         low, high = min(len(a), max(0, start - half)), min(len(a), start + _STRIP + half)
         if low > base:  # columns left of the window are final
@@ -72,14 +82,25 @@ def banded_lcs(a: list, b: list, half: int) -> int:
             v |= ((1 << (high - base - width)) - 1) << width
             width = high - base
         full = (1 << width) - 1
+        masks: dict = {}
         for j in range(start, min(len(b), start + _STRIP)):
-            places = at.get(b[j])
-            if places:
-                u = 0
-                for i in places:
-                    if -half <= i - j <= half:
+            x = b[j]
+            u = masks.get(x)
+            if u is None:
+                places = at.get(x, ())
+                places = places[bisect_left(places, base) : bisect_left(places, high)]
+                if len(places) < 32:
+                    u = 0
+                    for i in places:
                         u |= 1 << (i - base)
-                u &= v
+                else:
+                    bits = np.zeros(width, np.uint8)
+                    bits[np.array(places) - base] = 1
+                    u = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+                masks[x] = u
+            if u:
+                shift = j - half - base  # where the diagonal band of this row begins
+                u &= v & (near << shift if shift >= 0 else near >> -shift)
                 if u:
                     v = ((v + u) | (v - u)) & full
     return head + tail + found + width - v.bit_count()
@@ -92,20 +113,24 @@ def kmers(tokens: list[bytes], width: int = WIDTH) -> list:
     return list(zip(*(tokens[i:] for i in range(width))))
 
 
-def similarity(a: list[bytes], b: list[bytes], least: float = SIMILARITY, width: int = WIDTH) -> float:
-    """Aligned similarity of two word lists; 0 where their lengths rule out the least."""
-    x, y = kmers(a, width), kmers(b, width)
+def aligned(x: list, y: list, least: float = SIMILARITY) -> float:
+    """Similarity of two sequences of k-mers; 0 where their lengths rule out the least."""
     if not x or not y:
         return float(x == y)
     budget = edit_budget(len(x), len(y), least)
     if abs(len(x) - len(y)) > budget:
         return 0.0
-    names: dict = {}
-    x, y = ([names.setdefault(g, len(names)) for g in s] for s in (x, y))
     common = banded_lcs(x, y, budget)
     return common / (len(x) + len(y) - common)
 
 
+def similarity(a: list[bytes], b: list[bytes], least: float = SIMILARITY, width: int = WIDTH) -> float:
+    """Aligned similarity of two word lists."""
+    names: dict = {}
+    x, y = ([names.setdefault(g, len(names)) for g in kmers(w, width)] for w in (a, b))
+    return aligned(x, y, least)
+
+
 def _seeds(n: int) -> np.ndarray:
     return np.random.default_rng(5).integers(1, 1 << 63, n, np.int64).astype(np.uint64)
 
@@ -196,69 +221,83 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, ro
                     [ids.slice(start, end - start), pa.array(names, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=schema.names
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_texts(docs.select(id_col, text_col), run, schema)
+
+
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[i:j] for i, j in zip(offsets, offsets[1:])]
 
 
-def verify(pairs: DataFrame, reps: DataFrame, least: float, width: int) -> DataFrame:
-    """Of pairs (a, b) those whose texts (reps: id, text) are similar enough."""
-    left = reps.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = reps.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    # texts are sent once to a pair's first document, then to its second
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
+def kmer_lists(docs: DataFrame, width: int) -> DataFrame:
+    """id, h (labelled k-mer hashes in text order), at and plain (places of those with a label, and their hashes without it) of (id, text)."""
+    long_list = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("h", long_list), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("plain", long_list)])
+
+    def array(parts: list[np.ndarray], kind) -> pa.ListArray:
+        flat = pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), flat)
 
     def run(batches):
+        memo = WordHashes()
         for batch in batches:
-            ta, tb = texts(batch.column(2)), texts(batch.column(3))
-            last, tokens = None, None
-            keep = []
-            for x, y in zip(ta, tb):
-                if y != last or tokens is None:
-                    last, tokens = y, words(y or b"")
-                keep.append(similarity(words(x or b""), tokens, least, width) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            raws, ids = texts(batch.column(1)), batch.column(0)
+            for start, end in pieces(raws):
+                labelled, places, plain = [], [], []
+                for i in range(start, end):
+                    h = shingle_hashes(memo.of(words(raws[i] or b"")), width)
+                    own = occurrence_labels(np.zeros(len(h), np.int64), h)
+                    at = np.flatnonzero(own != h)
+                    labelled.append(own)
+                    places.append(at)
+                    plain.append(h[at])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), array(labelled, np.int64), array(places, np.int32), array(plain, np.int64)], names=schema.names)
 
-    return both.mapInArrow(run, T.StructType([T.StructField("a", pairs.schema["a"].dataType), T.StructField("b", pairs.schema["b"].dataType)]))
+    return map_texts(docs.select("id", "text"), run, schema)
 
 
-def near_labels(links: DataFrame) -> DataFrame:
-    """(id, label): two steps towards the components. Texts of one label are in one component; the reverse may not hold yet."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
-    jump = one.select(F.col("id").alias("label"), F.col("label").alias("far"))
-    return stage(one.join(jump.hint("merge"), "label").select("id", F.least("label", "far").alias("label")), "labels")
+def verify(pairs: DataFrame, listed: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of labels of which a pair of ordered_pairs, by its k-mers (listed: kmer_lists), aligns well enough.
 
+    A few pairs, with their k-mers, are gathered into as many tasks as they need; the joins are as wide as any.
+    """
+    pairs = stage(pairs, "pairs")
+    tasks = pairs.count() // PAIRS_PER_TASK + 1
+    side = lambda name: listed.select(F.col("id").alias(name), F.struct("h", "at", "plain").alias(f"of_{name}"))
+    # k-mers are sent once to a pair's first document, then to its second
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("la", "lb", "of_a", "of_b")
+    if tasks * 4 < int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        both = both.repartition(tasks)
+
+    def sequences(column: pa.StructArray) -> Iterator[list]:
+        for h, at, plain in zip(*(lists(column.field(k)) for k in range(3))):
+            own = h.copy()
+            own[at] = plain
+            yield own.tolist()
+
+    def run(batches):
+        for batch in batches:
+            keep = [aligned(x, y, least) >= least for x, y in zip(sequences(batch.column(2)), sequences(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def partner_sizes(held: DataFrame, least: float, width: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, lo, hi): numbers of k-mers that a similar text of held can have; and (id, h), the k-mers.
+    alike = map_texts(both, run, T.StructType([T.StructField(c, pairs.schema["a"].dataType) for c in ("a", "b")]))
+    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def partner_sizes(listed: DataFrame, least: float) -> DataFrame:
+    """id, n, lo, hi, own: numbers of k-mers, that a similar text of listed can have at least and at most, that no other holds.
 
     Of n k-mers those that no other text holds cannot be matched; with m left, a text of k k-mers needs
     n + k <= m (1 + s) / s. That a size alone rules out most pairs of a large bucket is exact, not a cap:
     texts that share a passage, or edited copies too far from all others, have no sizes left.
     """
-    schema = T.StructType([T.StructField("id", held.schema["id"].dataType), T.StructField("h", T.ArrayType(T.LongType()))])
-
-    def run(batches):
-        memo = WordHashes()
-        for batch in batches:
-            raws, ids = texts(batch.column(1)), batch.column(0)
-            for start, end in pieces(raws):
-                lists = []
-                for i in range(start, end):
-                    h = shingle_hashes(memo.of(words(raws[i] or b"")), width)
-                    lists.append(occurrence_labels(np.zeros(len(h), np.int64), h).astype(np.int64))
-                flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
-                offsets = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
-
-    listed = held.select("id", "text").mapInArrow(run, schema)
-    listed = stage(listed, "kmers")
     alone = listed.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
     alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    n = F.col("n")
-    most = (n - F.coalesce("alone", F.lit(0))) * ((1 + least) / least) - n
+    n, own = F.col("n"), F.coalesce("alone", F.lit(0))
+    most = (n - own) * ((1 + least) / least) - n
     out = listed.select("id", F.size("h").alias("n")).join(alone.hint("merge"), "id", "left")
-    out = out.select("id", "n", F.ceil(n * least - 1e-6).cast("long").alias("lo"), F.floor(F.least(n / least, most) + 1e-6).cast("long").alias("hi"))
-    return stage(out.where("lo <= hi"), "sizes"), listed
+    out = out.select("id", "n", F.ceil(n * least - 1e-6).cast("long").alias("lo"), F.floor(F.least(n / least, most) + 1e-6).cast("long").alias("hi"), own.alias("own"))
+    return stage(out.where("lo <= hi"), "sizes")
 
 
 def size_class(n):
@@ -277,66 +316,56 @@ def with_partners(open_: DataFrame) -> DataFrame:
     return open_.join(held.hint("merge"), ["band", "value"]).where(fits).drop("classes")
 
 
-def block_pairs(open_: DataFrame, listed: DataFrame, least: float) -> DataFrame:
-    """(a, b) of bucket members of different labels that have enough k-mers in common for the similarity.
+def ordered_pairs(met: DataFrame) -> DataFrame:
+    """a, b (a < b), and their labels la and lb, of rows id, label, p_id, p_label."""
+    first = F.col("id") < F.col("p_id")
+    label = lambda mine: F.when(first if mine else ~first, F.col("label")).otherwise(F.col("p_label"))
+    return met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"), label(True).alias("la"), label(False).alias("lb")).distinct()
 
-    Buckets are cut into blocks of about BLOCK members; a row is a pair of blocks, and the pairs inside are
-    counted by a matrix product of their k-mer incidences, so that only pairs with the overlap are ever made.
-    """
-    size = open_.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = open_.select("band", "value", "id", "label").join(size.hint("merge"), ["band", "value"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(listed.hint("merge"), "id")
-    blocks = rows.groupBy("band", "value", "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("id", "label", "h")).alias("m"))
-    blocks = stage(blocks, "blocks")
-    left = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    right = blocks.select("band", "value", F.col("block").alias("other"), F.col("m").alias("o"))
-    met = left.join(right.hint("merge"), ["band", "value", "other"]).select((F.col("block") == F.col("other")).alias("same"), "m", "o")
-    id_type = open_.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
 
-    def run(batches):
-        for batch in batches:
-            found_a, found_b = [], []
-            for row in range(batch.num_rows):
-                same, m, o = (c[row].as_py() for c in batch.columns)
-                names: dict[int, int] = {}
-                for x in m:
-                    for h in x["h"]:
-                        names.setdefault(h, len(names))
-
-                def incidence(side, names=names):
-                    out = np.zeros((len(side), len(names)), np.float32)
-                    for i, x in enumerate(side):
-                        out[i, [names[h] for h in x["h"] if h in names]] = 1
-                    return out
-
-                p = incidence(m)
-                common = p @ (p if same else incidence(o)).T
-                sizes = np.add.outer([len(x["h"]) for x in m], [len(x["h"]) for x in o])
-                enough = common >= sizes * (least / (1 + least)) - 1e-3
-                for i, j in zip(*map(np.ndarray.tolist, np.nonzero(enough))):
-                    if m[i]["label"] != o[j]["label"] and (not same or i < j):
-                        found_a.append(min(m[i]["id"], o[j]["id"]))
-                        found_b.append(max(m[i]["id"], o[j]["id"]))
-            types = batch.schema.field("m").type.value_type.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, types), pa.array(found_b, types)], names=["a", "b"])
-
-    return met.mapInArrow(run, schema).distinct()
-
-
-def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(id, label) of all linked ids, label the smallest id of the component; stages each round."""
+def kmer_pairs(open_: DataFrame, listed: DataFrame, least: float, share: float) -> DataFrame:
+    """ordered_pairs of texts in open buckets, of different labels, that can have enough k-mers in common.
+
+    Only k-mers that texts of several labels hold count. Of m such k-mers, rarest first, a text of n needs
+    ceil(n least) in common with any partner: one of the first m - ceil(n least) + 1 is among them, for both sides.
+    Sizes, and what can still follow the place of a common k-mer, rule out most pairs inside the join. Of the
+    texts that hold a k-mer, those of its most frequent label meet the others only: a large component is not
+    paired with itself. share: part of these k-mers, rarest first, that are joined; 1 finds all pairs.
+    """
+    texts_ = open_.groupBy("id").agg(F.min("label").alias("label"))
+    rows = listed.select("id", "h").join(texts_.hint("merge"), "id")
+    rows = rows.select("id", "label", F.size("h").alias("n"), F.explode("h").alias("h"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rows = rows.join(shared.select("h", "often").hint("merge"), "h")
+    own = W.partitionBy("id")
+    rows = rows.withColumn("i", F.row_number().over(own.orderBy("often", "h"))).withColumn("m", F.count(F.lit(1)).over(own))
+    most = F.col("m") - F.ceil(F.col("n") * least - 1e-6) + 1
+    rows = stage(rows.where(F.col("i") <= F.ceil(most * share)).drop("often"), "rare-kmers")
+    held = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
+    held = held.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = stage(rows.join(held.select("h", "main").hint("merge"), "h"), "rare-kmers")
+    other = rows.where("label <> main").select("h", *[F.col(c).alias(f"p_{c}") for c in ("id", "label", "n", "m", "i")])
+    apart = (F.col("label") != F.col("p_label")) & ((F.col("label") == F.col("main")) | (F.col("id") < F.col("p_id")))
+    left = F.least(F.col("m") - F.col("i"), F.col("p_m") - F.col("p_i")) + 1
+    enough = left >= (F.col("n") + F.col("p_n")) * (least / (1 + least)) - 1e-6
+    return ordered_pairs(rows.join(other.hint("merge"), (rows["h"] == other["h"]) & apart & enough))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, label) of all linked ids, label the smallest id of the component; stages each round.
+
+    Tasks are as many as the edges need, where that is fewer than the session's shuffle partitions.
+    """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = stage(both.groupBy("a", "b").agg(F.lit(1).alias("n")).select("a", "b"), "edges")
-    labels = stage(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
+    edges = stage(both.distinct(), "edges")
+    tasks = edges.count() // ROWS_PER_TASK + 1
+    labels = stage(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")).coalesce(tasks), "labels")
     while True:
-        near = edges.join(labels.hint("merge"), edges["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near.withColumnRenamed("a", "id").hint("merge"), "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        hooked = stage(hooked, "labels")
-        jump = hooked.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = hooked.join(jump.hint("merge"), "label").select("id", F.least("label", "far").alias("label"), "old")
-        new = stage(new, "labels")
-        unstage(hooked)
+        near = edges.join(labels.hint("merge"), edges["b"] == labels["id"]).select("a", "label").coalesce(tasks)
+        near = near.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        far = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        new = labels.join(near.hint("merge"), "id").coalesce(tasks).join(far.hint("merge"), "label")
+        new = stage(new.select("id", F.least("label", "near", "far").alias("label"), F.col("label").alias("old")).coalesce(tasks), "labels")
         unstage(labels)
         labels = new.select("id", "label")
         labels._staged_path = new._staged_path
@@ -345,6 +374,15 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame | None, step: DataFrame) -> DataFrame:
+    """labels (id, label) with the components of its labels, step; labels that had no link before are ids of step alone."""
+    if labels is None:
+        return step
+    new = labels.join(step.select(F.col("id").alias("label"), F.col("label").alias("new")).hint("merge"), "label", "left")
+    fresh = step.join(labels.select("id").hint("merge"), "id", "left_anti")
+    return stage(new.select("id", F.coalesce("new", "label").alias("label")).unionByName(fresh), "labels")
+
+
 def near_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -355,6 +393,7 @@ def near_classes(
     ell: int = ELL,
     width: int = WIDTH,
     rounds: int = ROUNDS,
+    shares: tuple[float, ...] = SHARES,
 ) -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), class_size (rows), kept (id is class_id).
 
@@ -373,42 +412,30 @@ def near_classes(
     members = stage(members, "members")
     wanted = members.select("id").distinct()
     held = usable.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
-    held = stage(held.dropDuplicates(["id"]), "held")
-    sizes, listed = partner_sizes(held, least, width)
-    left = members.join(sizes.hint("merge"), "id").withColumn("label", F.col("id"))
-    for _ in range(2):  # what has lost its last partner may have been another's
-        left = stage(with_partners(left), "members")
-    sized = [F.col(c) for c in ("id", "band", "value", "n", "lo", "hi")]
+    listed = stage(kmer_lists(held.dropDuplicates(["id"]), width), "kmers")
+    sizes = partner_sizes(listed, least)
+    left = stage(with_partners(members.join(sizes.hint("merge"), "id").withColumn("label", F.col("id"))), "open")
+    columns = ("id", "band", "value", "n", "lo", "hi", "own")
     fit = F.col("n").between(F.col("p_lo"), F.col("p_hi")) & F.col("p_n").between(F.col("lo"), F.col("hi"))
-    links, labels, exact = None, None, True
-    for r in range(rounds + 1):
+    labels = None
+    for r in range(rounds + len(shares)):
+        if labels is not None:
+            open_ = left.select(*columns).join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+            # a bucket without two components of fitting sizes is done
+            left = stage(with_partners(open_), "open")
         if left.isEmpty():
             break
-        if r == rounds and not exact:
-            labels, exact = components(links), True
-        open_ = left.select(*sized)
-        if labels is None:
-            open_ = open_.withColumn("label", F.col("id"))
-        else:
-            open_ = open_.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # a bucket without two components of fitting sizes is done
-        left = stage(with_partners(open_), "open")
         if r < rounds:
             # the pivot is another one each round
-            turn = F.struct(F.xxhash64("id", F.lit(r)), F.col("id")) if r else F.struct("id")
+            turn = F.struct(F.xxhash64("id", F.lit(r)), F.col("id")) if r else F.struct(F.col("own") / F.col("n"), F.col("id"))
             other = left.groupBy("band", "value").agg(F.min_by(F.struct("id", "label", "n", "lo", "hi"), turn).alias("p"))
             other = other.select("band", "value", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "label", "n", "lo", "hi")])
-            met = left.join(other.hint("merge"), ["band", "value"]).where((F.col("label") != F.col("p_label")) & fit)
-            pairs = met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+            pairs = ordered_pairs(left.join(other.hint("merge"), ["band", "value"]).where((F.col("label") != F.col("p_label")) & fit))
         else:
-            pairs = block_pairs(left, listed, least)
-        found = stage(verify(pairs, held, least, width), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            # between the rounds labels only spare comparisons
-            labels, exact = near_labels(links), False
-    if not exact:
-        labels = components(links)
+            pairs = kmer_pairs(left, listed, least, shares[r - rounds])
+        links = stage(verify(pairs, listed, least), "links")
+        if not links.isEmpty():
+            labels = relabelled(labels, components(links))
     owner = all_rows.select("id", "sequence").join(reps.select("sequence", "rep").where("copies > 1").hint("merge"), "sequence", "left")
     owner = owner.select("id", F.coalesce("rep", "id").alias("rep"))
     if labels is None:
