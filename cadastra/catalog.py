@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("attribute_queries", "spatial_queries", "kernel_queries", "source_queries")
+MODULES = ("attribute_queries", "spatial_queries", "kernel_queries", "source_queries", "building_queries")
 
 
 def _collect(name: str) -> dict:

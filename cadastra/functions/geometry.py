@@ -14,20 +14,29 @@ EARTH_RADIUS_M = 6378137.0
 M_PER_DEG = math.pi / 180 * EARTH_RADIUS_M
 
 
+_GRID_CELLS = 1 << 20
+
+
 def box_union_area(boxes: np.ndarray) -> float:
-    """Area of the union of (n, 4) boxes: strips between all x, covered y length in each."""
+    """Area of the union of (n, 4) boxes: how many cover each cell between all x and y, by sums of corners.
+
+    The grid is worked off in slabs of x, so that many boxes take little memory at once.
+    """
     if not len(boxes):
         return 0.0
-    xs, total = np.unique(boxes[:, [0, 2]]), 0.0
-    for a, b in zip(xs, xs[1:]):
-        rows = boxes[(boxes[:, 0] <= a) & (boxes[:, 2] >= b)]
-        rows = rows[np.argsort(rows[:, 1])]
-        covered, top = 0.0, -math.inf
-        for _, y0, _, y1 in rows:
-            if y1 > top:
-                covered += y1 - max(y0, top)
-                top = y1
-        total += covered * (b - a)
+    xs, ys = np.unique(boxes[:, [0, 2]]), np.unique(boxes[:, [1, 3]])
+    x0, x1 = np.searchsorted(xs, boxes[:, 0]), np.searchsorted(xs, boxes[:, 2])
+    y0, y1 = np.searchsorted(ys, boxes[:, 1]), np.searchsorted(ys, boxes[:, 3])
+    slab, total = max(1, _GRID_CELLS // len(ys)), 0.0
+    for a in range(0, len(xs) - 1, slab):
+        b = min(a + slab, len(xs) - 1)
+        here = (x0 < b) & (x1 > a)
+        lo, hi = np.maximum(x0[here], a) - a, np.minimum(x1[here], b) - a
+        corners = np.zeros((b - a + 1, len(ys)), np.int32)
+        for x, y, sign in ((lo, y0[here], 1), (hi, y0[here], -1), (lo, y1[here], -1), (hi, y1[here], 1)):
+            np.add.at(corners, (x, y), sign)
+        covered = corners.cumsum(0).cumsum(1)[:-1, :-1] > 0
+        total += float(np.diff(xs[a : b + 1]) @ (covered @ np.diff(ys)))
     return total
 
 
@@ -358,3 +367,57 @@ def utm_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000 + 0.9996 * big_a * east, 0.9996 * big_a * north
+
+
+def utm_inverse(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of northern UTM coordinates, by the inverse Krueger series to the third order on WGS 84."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = north / (0.9996 * big_a), (east - 500000) / (0.9996 * big_a)
+    x, y = xi, eta
+    for j, c in enumerate(beta, 1):
+        x = x - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(lat)
+
+
+# ---- on the ellipsoid, and around lines -----------------------------------------------------------
+
+
+def spheroid_area(polygon: list[np.ndarray]) -> float:
+    """Square metres of a polygon in degrees on WGS 84: its area on the sphere of equal area, edges straight there."""
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) + np.arctanh(e * s) / e)
+    top = float(q(np.float64(1.0)))
+
+    def band(ring: np.ndarray) -> float:
+        lam, s = np.radians(ring[:, 0]), q(np.sin(np.radians(ring[:, 1]))) / top
+        turn = (np.roll(lam, -1) - lam + math.pi) % (2 * math.pi) - math.pi
+        return abs(float((turn * (s + np.roll(s, -1))).sum() / 2))
+
+    return a * a * top / 2 * (band(polygon[0]) - sum(band(r) for r in polygon[1:]))
+
+
+def capsule(p: tuple[float, float], q: tuple[float, float], radius: float, steps: int = 32) -> np.ndarray:
+    """Ring around all points not farther than radius from a line, with round caps of so many steps."""
+    (x0, y0), (x1, y1) = p, q
+    along = math.atan2(y1 - y0, x1 - x0)
+    half = np.linspace(0, math.pi, steps + 1)
+    end, start = along - math.pi / 2 + half, along + math.pi / 2 + half
+    caps = [(x1 + radius * np.cos(end), y1 + radius * np.sin(end)), (x0 + radius * np.cos(start), y0 + radius * np.sin(start))]
+    return np.concatenate([np.stack(c, 1) for c in caps])
+
+
+def buffered_line(points: list[tuple[float, float]], radius: float, steps: int = 32) -> list[list[np.ndarray]]:
+    """Capsules around the pieces of a line; their union is the buffer."""
+    pieces = list(zip(points, points[1:])) or [(points[0], points[0])]
+    return [[capsule(p, q, radius, steps)] for p, q in pieces]

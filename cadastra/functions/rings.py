@@ -11,22 +11,30 @@ def is_closed(way: list[tuple[float, float]]) -> bool:
     return len(way) >= 4 and way[0] == way[-1]
 
 
-def stitch(ways: list[list[tuple[float, float]]]) -> list[np.ndarray] | None:
-    """Rings made of the ways joined at their ends; None where an end stays open."""
-    left, rings = [list(w) for w in ways if len(w) > 1], []
-    while left:
-        ring = left.pop(0)
-        while ring[0] != ring[-1]:
-            for k, way in enumerate(left):
-                if ring[-1] in (way[0], way[-1]):
-                    ring += (way if way[0] == ring[-1] else way[::-1])[1:]
-                    del left[k]
-                    break
-            else:
-                return None
-        if len(ring) >= 4:
-            rings.append(np.array(ring[:-1], float))
-    return rings
+def stitch(ways: list[list[tuple[float, float]]]) -> tuple[list[np.ndarray], int]:
+    """Rings made of the ways joined at their ends, and how many chains of ways stay open; those make no ring."""
+    ends: dict[tuple[float, float], set[int]] = {}
+    for k, way in enumerate(ways):
+        if len(way) > 1:
+            for end in {way[0], way[-1]}:
+                ends.setdefault(end, set()).add(k)
+    rings, open_, used = [], 0, set()
+    for k, way in enumerate(ways):
+        if len(way) < 2 or k in used:
+            continue
+        used.add(k)
+        chain = list(way)
+        for _ in range(2):  # from the last point on, then from the first
+            while chain[0] != chain[-1] and (free := sorted(ends[chain[-1]] - used)):
+                used.add(free[0])
+                more = ways[free[0]]
+                chain += (more if more[0] == chain[-1] else more[::-1])[1:]
+            chain.reverse()
+        if chain[0] != chain[-1]:
+            open_ += 1
+        elif len(chain) >= 4:
+            rings.append(np.array(chain[:-1], float))
+    return rings, open_
 
 
 def polygons(outer: list[np.ndarray], inner: list[np.ndarray]) -> list[list[np.ndarray]]:

@@ -5,32 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unit conversion and limits of tagged lengths and levels.
-FEET = 0.3048
+# Metres per unit, limits of tagged lengths and levels, values that say no or nothing.
+METRES_PER = {
+    "": 1.0, "m": 1.0, "meter": 1.0, "meters": 1.0, "metre": 1.0, "metres": 1.0,
+    "'": 0.3048, "ft": 0.3048, "foot": 0.3048, "feet": 0.3048,
+    '"': 0.0254, "in": 0.0254, "inch": 0.0254, "inches": 0.0254,
+}
 MAX_LENGTH_M = 1000.0
 MAX_LEVELS = 250
 NOT_BUILDING = ("no", "none", "false", "0")
 NO_VALUE = ("yes", "true", "1")
+# Height sources by the words in a record's origin, and by the whole of it.
+ORIGIN_WORDS = {"gba_osm": ("osm", "openstreetmap"), "gba_google": ("google", "gob"), "gba_ms": ("microsoft", "bing")}
+ORIGIN_NAMES = {"ms": "gba_ms", "msft": "gba_ms", "gba_ms": "gba_ms"}
 
-NUMBER = r"(\d+(?:[.,]\d+)?)"
-METRES = rf"(?i)^{NUMBER}\s*(?:m|meters?|metres?)?$"
-IN_FEET = rf"(?i)^{NUMBER}\s*(?:ft|feet|foot|')$"
-FEET_INCHES = rf"(?i)^(\d+)\s*'\s*{NUMBER}\s*(?:\"|in|inch|inches)?$"
-
-
-def _number(text: Column) -> Column:
-    return F.regexp_replace(text, ",", ".").try_cast("double")
+#: A measure is a run of quantities, each a number and its unit.
+QUANTITY = r"([0-9]+(?:[.,][0-9]+)?)\s*([a-z'\"]*)\s*"
 
 
 def length_m(text: Column) -> Column:
-    """A length in metres: `12`, `12,5 m`, `40 ft`, `12'6"`; null for anything else, for 0 and above 1000 m. Three decimals."""
-    t = F.trim(text)
-    metres = (
-        F.when(t.rlike(METRES), _number(F.regexp_extract(t, METRES, 1)))
-        .when(t.rlike(IN_FEET), _number(F.regexp_extract(t, IN_FEET, 1)) * FEET)
-        .when(t.rlike(FEET_INCHES), (_number(F.regexp_extract(t, FEET_INCHES, 1)) * 12 + _number(F.regexp_extract(t, FEET_INCHES, 2))) * FEET / 12)
-    )
-    return F.when((metres > 0) & (metres <= MAX_LENGTH_M), F.floor(metres * 1000 + 0.5) / 1000)
+    """A length in metres: `12`, `12,5 m`, `40 ft`, `12'6"`; null for anything else, for 0 and above 1000 m. Three decimals.
+
+    The text is cut into quantities and their sum is taken. One quantity is in metres or feet; two are whole feet
+    (') and inches, whose sign may be left out.
+    """
+    t = F.lower(F.trim(text))
+    numbers = F.transform(F.regexp_extract_all(t, F.lit(QUANTITY), F.lit(1)), lambda x: F.regexp_replace(x, ",", ".").try_cast("double"))
+    units = F.regexp_extract_all(t, F.lit(QUANTITY), F.lit(2))
+    first, second = F.get(units, F.lit(0)), F.get(units, F.lit(1))
+    inches = F.when(second == "", '"').otherwise(second)
+    one = (F.size(units) == 1) & first.isin(*[u for u, m in METRES_PER.items() if m > 0.1])
+    two = (F.size(units) == 2) & (first == "'") & inches.isin(*[u for u, m in METRES_PER.items() if m < 0.1]) & (F.get(numbers, F.lit(0)) % 1 == 0)
+    per = F.create_map(*[F.lit(x) for pair in METRES_PER.items() for x in pair])
+    total = F.get(numbers, F.lit(0)) * per[first] + F.when(two, F.get(numbers, F.lit(1)) * per[inches]).otherwise(0.0)
+    whole = F.regexp_replace(t, QUANTITY, "") == ""
+    return F.when(whole & (one | two) & (total > 0) & (total <= MAX_LENGTH_M), F.floor(total * 1000 + 0.5) / 1000)
 
 
 def levels(text: Column, minimum: float = 0.0) -> Column:
@@ -46,14 +55,15 @@ def _value(tags: Column, key: str) -> Column:
 
 
 def is_set(tags: Column, key: str) -> Column:
-    value = _value(tags, key)
-    return (value != "") & ~value.isin(*NOT_BUILDING)
+    """Has the key a value that does not deny it?"""
+    return ~_value(tags, key).isin("", *NOT_BUILDING)
 
 
 def kind(tags: Column) -> Column:
     """part, building, or null for what is neither or lies underground."""
-    below = (_value(tags, "location") == "underground") | ~_value(tags, "tunnel").isin("", "no")
-    return F.when(below, F.lit(None).cast("string")).when(is_set(tags, "building:part"), "part").when(is_set(tags, "building"), "building")
+    named = F.coalesce(*[F.when(is_set(tags, key), name) for key, name in (("building:part", "part"), ("building", "building"))])
+    above = _value(tags, "tunnel").isin("", "no") & (_value(tags, "location") != "underground")
+    return F.when(above, named)
 
 
 def text_tag(tags: Column, key: str) -> Column:
@@ -90,11 +100,20 @@ def tag_issues(tags: Column) -> Column:
 
 
 def hstore(text: Column) -> Column:
-    """`"key"=>"value", ...` as a map; backslash escapes are taken back."""
-    pair = r'"((?:[^"\\]|\\.)*)"=>"((?:[^"\\]|\\.)*)"'
-    plain = lambda a: F.transform(a, lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
-    keys, values = F.regexp_extract_all(text, F.lit(pair), F.lit(1)), F.regexp_extract_all(text, F.lit(pair), F.lit(2))
-    return F.map_from_arrays(plain(keys), plain(values))
+    """`"key"=>"value", ...` as a map, with or without blanks around the arrow; an unquoted NULL is null.
+
+    Backslash escapes are taken back. Of a key that comes again the last value holds.
+    """
+    quoted = r'"((?:[^"\\]|\\.)*)"'
+    pair = rf"(?i){quoted}\s*=>\s*(?:{quoted}|NULL)"
+    part = lambda k: F.regexp_extract_all(text, F.lit(pair), F.lit(k))
+    plain = lambda x: F.regexp_replace(x, r"\\(.)", "$1")
+    pairs = F.transform(
+        F.arrays_zip(part(0).alias("whole"), part(1).alias("key"), part(2).alias("value")),
+        lambda x: F.struct(plain(x["key"]).alias("key"), F.when(x["whole"].endswith('"'), plain(x["value"])).alias("value")),
+    )
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
 
 
 def key_text(column: Column, kind_: str) -> Column:
@@ -135,14 +154,11 @@ def name_uuid(name: Column, prefix: str) -> Column:
 
 
 def lineage_family(origin: Column) -> Column:
-    """Which source a height record was copied from."""
-    o = F.lower(F.coalesce(origin, F.lit("")))
-    return (
-        F.when(o.rlike("osm|openstreetmap"), "gba_osm")
-        .when(o.rlike("google|gob"), "gba_google")
-        .when(o.isin("ms", "msft", "gba_ms") | o.rlike("microsoft|bing"), "gba_ms")
-        .otherwise("gba_other")
-    )
+    """Which source a height record was copied from: by a word in its origin, else by its whole name."""
+    o = F.lower(origin)
+    by_word = [F.when(F.greatest(*[F.instr(o, w) for w in words]) > 0, family) for family, words in ORIGIN_WORDS.items()]
+    by_name = F.create_map(*[F.lit(x) for pair in ORIGIN_NAMES.items() for x in pair])[o]
+    return F.coalesce(*by_word, by_name, F.lit("gba_other"))
 
 
 def type_family(name: str) -> str:

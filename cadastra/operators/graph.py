@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.operators.staging import stage
+from cadastra.operators.staging import stage, unstage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp): the smallest id of each component of an undirected edge table.
 
-    Each round takes the smallest label among the neighbours, then the label of that label, which halves the
-    longest chain: the number of rounds grows with its logarithm. Every round is staged. A hot label is the key
-    of a join of two plain exchanges, which adaptive execution splits.
+    Each round takes the smallest of the neighbours' labels and of the label's own label, which halves the longest
+    chain: the number of rounds grows with its logarithm. Every round is staged, once, and takes the place of the
+    one before. A hot label is the key of a join of two plain exchanges, which adaptive execution splits.
     """
     one = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
     both = stage(one.union(one.select("b", "a")).distinct(), "edges")
     labels = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "id")
-        hooked = stage(labels.join(near, "id").select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")), "labels")
-        jump = hooked.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
-        new = stage(hooked.join(jump, "comp").select("id", F.least("comp", "far").alias("comp"), "old"), "labels")
+        far = labels.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
+        new = stage(labels.join(near, "id").join(far, "comp").select("id", F.least("comp", "near", "far").alias("comp"), F.col("comp").alias("old")), "labels")
+        unstage(labels)
         labels = new.select("id", "comp")
+        labels._staged_path = new._staged_path
         if new.where("comp <> old").isEmpty():
+            unstage(both)
             return labels
 
 

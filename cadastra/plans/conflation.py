@@ -1,21 +1,24 @@
 """Conflation of footprint sources: overlap graph, components, winners and evidence, heights.
 
-Footprints are boxes here (x0, y0, x1, y1 and area); polygons enter through the kernels of
-cadastra.functions.geometry, which replace the overlap area and the union area.
+Footprints are boxes (x0, y0, x1, y1 and area), or polygons with a column geometry (WKB) beside the box: the
+box finds the pairs, and the kernels of cadastra.functions.geometry measure overlaps and unions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.functions.geometry import box_union_area
+from cadastra.functions.geometry import box_union_area, intersection, read_wkb, union
 from cadastra.operators.cells import box_join
 from cadastra.operators.graph import connected_components
 from cadastra.operators.staging import stage
+from cadastra.plans.polygons import overlaps
 
 # Families by precedence, and severities of review issues.
 FAMILIES = ("osm", "gob", "gba_ms")
@@ -56,7 +59,8 @@ def observations(sources: dict[str, DataFrame], p: Params) -> DataFrame:
             df = df.where(F.col("confidence") >= p.min_confidence)
         if family != FAMILIES[0]:
             df = df.where(F.col("area") >= p.min_area)
-        rows = df.select("id", F.lit(family).alias("family"), F.lit(rank).alias("rank"), "area", "x0", "y0", "x1", "y1")
+        shape = ["geometry"] if "geometry" in df.columns else []
+        rows = df.select("id", F.lit(family).alias("family"), F.lit(rank).alias("rank"), "area", "x0", "y0", "x1", "y1", *shape)
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -78,7 +82,8 @@ def overlap_pairs(obs: DataFrame, p: Params) -> DataFrame:
         later = present[i + 1 :]
         if not later:
             break
-        part = box_join(obs.where(F.col("family") == fa), obs.where(F.col("family").isin(*later)), p.cell).where(F.col("inter") > 0.01)
+        join = overlaps if "geometry" in obs.columns else box_join
+        part = join(obs.where(F.col("family") == fa), obs.where(F.col("family").isin(*later)), p.cell).where(F.col("inter") > 0.01)
         out = part if out is None else out.unionByName(part)
     middle = lambda s, c: (F.col(f"{s}_{c}0") + F.col(f"{s}_{c}1")) / 2
     dist = F.sqrt(F.pow(middle("a", "x") - middle("b", "x"), 2) + F.pow(middle("a", "y") - middle("b", "y"), 2))
@@ -138,19 +143,60 @@ def resolve(obs: DataFrame, pairs: DataFrame, p: Params) -> tuple[DataFrame, Dat
 
 
 def group_iou(members: DataFrame, obs: DataFrame) -> DataFrame:
-    """(gid, group_iou): union of the winners against union of the evidence. A group's boxes meet in one kernel call."""
-    rows = members.join(obs.select("id", "x0", "y0", "x1", "y1"), "id").select("gid", "role", "x0", "y0", "x1", "y1")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        box = lambda d: d[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        w, e = box(pdf[pdf.role == "winner"]), box(pdf[pdf.role == "evidence"])
-        if not len(w) or not len(e):
-            return pd.DataFrame({"gid": pdf.gid.iloc[:1], "group_iou": [None]})
-        union = box_union_area(box(pdf))
-        both = box_union_area(w) + box_union_area(e) - union
-        return pd.DataFrame({"gid": pdf.gid.iloc[:1], "group_iou": [both / union]})
-
-    return rows.groupBy("gid").applyInPandas(run, "gid string, group_iou double")
+    """(gid, group_iou): union of the winners against union of the evidence; null without evidence.
+
+    A group of one winner and one piece of evidence, as most are, has it in closed form. The boxes of the others
+    go through one kernel call a group, sorted by group in as many tasks as shuffle partitions.
+    """
+    shape = ["geometry"] if "geometry" in obs.columns else ["x0", "y0", "x1", "y1"]
+    sized = members.join(obs.select("id", "area", *shape), "id")
+    sides = sized.groupBy("gid").agg(
+        F.count_if(F.col("role") == "winner").alias("w"),
+        F.count_if(F.col("role") == "evidence").alias("e"),
+        F.sum(F.when(F.col("role") == "winner", F.col("area"))).alias("won"),
+        F.sum(F.when(F.col("role") == "evidence", F.col("area"))).alias("shown"),
+        F.sum("inter").alias("inter"),
+    )
+    sides = stage(sides, "group-sides")
+    pair = F.when((F.col("w") == 1) & (F.col("e") == 1), F.col("inter") / (F.col("won") + F.col("shown") - F.col("inter")))
+    simple = sides.where("e = 0 or w = 0 or (e = 1 and w = 1)").select("gid", pair.alias("group_iou"))
+    many = sides.where("e > 0 and w > 0 and e + w > 2").select("gid")
+    rows = sized.join(many, "gid", "left_semi").select("gid", (F.col("role") == "winner").alias("wins"), *[F.col(c) if c == "geometry" else F.col(c).cast("double").alias(c) for c in shape])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gid, held = None, []
+
+        def done() -> pa.RecordBatch:
+            if shape == ["geometry"]:
+                w, e = ([g for part in held for side, wkb in part if side == s for g in read_wkb(wkb)] for s in (True, False))
+                value = intersection(w, e)[0] / union(w, e)[0]
+            else:
+                boxes = np.concatenate(held)
+                wins, boxes = boxes[:, 0] > 0, boxes[:, 1:]
+                both = box_union_area(boxes)
+                value = (box_union_area(boxes[wins]) + box_union_area(boxes[~wins]) - both) / both
+            return pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([value])], names=["gid", "group_iou"])
+
+        for batch in batches:
+            gids = batch.column(0).to_pylist()
+            if shape == ["geometry"]:
+                table = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            else:
+                table = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (batch.column(1).cast(pa.int8()), *batch.columns[2:])], 1)
+            start = 0
+            for k, g in enumerate([*gids, None]):
+                if k == len(gids) or g != gid:
+                    if k > start:
+                        held.append(table[start:k])
+                    if k < len(gids):
+                        if held:
+                            yield done()
+                        gid, held, start = g, [], k
+        if held:
+            yield done()
+
+    found = rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "gid string, group_iou double")
+    return simple.unionByName(found)
 
 
 def judged(groups: DataFrame, iou: DataFrame, p: Params) -> DataFrame:

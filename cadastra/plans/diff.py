@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions.geometry import M_PER_DEG, ground_distance
-from cadastra.functions.tags import differs, type_family
+from cadastra.functions.heights import REAL_SOURCES, HeightRule, height_columns
+from cadastra.functions.tags import differs, key_text, type_family
 from cadastra.operators.graph import match_rounds
 
+# Columns that every build changes.
+VOLATILE = ("build_id", "updated_at", "updated_by", "description", "winning_observation_id", "config_version")
 # Location matching, geometry classes and histogram edges.
 MATCH_CELL_DEG = 0.001
 MATCH_RADIUS_M = (3.0, 50.0)
@@ -173,6 +176,60 @@ def reidentified(a: DataFrame, b: DataFrame, a_status: DataFrame, b_status: Data
     return location_pairs(gone, new, 1)
 
 
+def same_source(a: DataFrame, b: DataFrame, a_status: DataFrame, b_status: DataFrame, column: str) -> DataFrame:
+    """bid of removed buildings whose source id, as text, an added one has."""
+    text = lambda df: key_text(F.col(column), dict(df.dtypes)[column]).alias("source")
+    gone = a.join(a_status.where("status = 'removed'").select("bid"), "bid", "left_semi").select("bid", text(a))
+    new = b.join(b_status.where("status = 'added'").select("bid"), "bid", "left_semi").select(text(b))
+    return gone.where("source is not null").join(new, "source", "left_semi").select("bid")
+
+
+def largest(side: DataFrame, status: DataFrame, kind: str, limit: int) -> DataFrame:
+    """Samples of removed or added buildings: the largest first, unknown areas last."""
+    rows = side.join(status.where(F.col("status") == kind).select("bid"), "bid", "left_semi")
+    return rows.orderBy(F.col("area").desc_nulls_last(), "bid").limit(limit)
+
+
+def most_changed(compared: DataFrame, limit: int) -> DataFrame:
+    """Samples of changed buildings: major geometry first, then the largest change of height, then of area."""
+    order = [(F.col("geom_class") == "major").desc(), F.abs(F.coalesce("dh", F.lit(0.0))).desc(), F.coalesce("area_pct", F.lit(0.0)).desc(), F.col("a").asc()]
+    return compared.where("changed").orderBy(*order).limit(limit)
+
+
+def match_mode(id_a: str | None, id_b: str | None, wanted: str = "auto") -> str:
+    """key where both sides have the same id column, else location; a wanted mode holds."""
+    return wanted if wanted != "auto" else "key" if id_a and id_a == id_b else "location"
+
+
+def ignored_columns(mode: str, common: list[str], wanted: tuple[str, ...] | None = None) -> tuple[str, ...]:
+    """Columns that do not make a building changed: those asked for; by key those of every build; by location all."""
+    if wanted is not None:
+        return wanted
+    return tuple(c for c in common if c in VOLATILE) if mode == "key" else tuple(common)
+
+
+def loaded(side: DataFrame, rule: HeightRule | None = None, height: str | None = None, levels: str | None = None, provenance: str | None = None) -> DataFrame:
+    """Adds h (effective height), real (is it measured; null where that can't be told) and outlier to a side.
+
+    A column h_m holds the drawn height of older files; else the rule derives it. h_src tells measured heights, else
+    an older file's provenance, else the rule. h_outlier of a file holds, else the rule's.
+    """
+    none = F.lit(None).cast("double")
+    made = height_columns(rule, F.col(height).try_cast("double") if height else none, F.col(levels).try_cast("double") if levels else none, F.col(provenance) if provenance else None) if rule else None
+    legacy, told = "h_m" in side.columns, bool(provenance and rule and rule.placeholders)
+    h = F.col("h_m").try_cast("double") if legacy else made["height_m"] if made else none
+    if "h_src" in side.columns:
+        real = F.coalesce(F.col("h_src").isin(*REAL_SOURCES), F.lit(False))
+    elif legacy and told:
+        real = F.coalesce(~F.col(provenance).isin(*rule.placeholders), F.lit(True))
+    elif rule and (height or levels or told):
+        real = made["h_src"] != "default"
+    else:
+        real = F.lit(None).cast("boolean")
+    odd = F.col("h_outlier").try_cast("int") == 1 if "h_outlier" in side.columns else made["h_outlier"] == 1 if made else F.lit(False)
+    return side.withColumns({"h": h, "real": real, "outlier": F.coalesce(odd, F.lit(False))})
+
+
 def change_files(a: DataFrame, b: DataFrame, a_status: DataFrame, b_status: DataFrame, compared: DataFrame) -> dict[str, DataFrame]:
     """The tables of the change files."""
     diff = compared.where("changed").select(F.col("b").alias("bid"), "a", "geom_class", "h_changed", "cols_changed")

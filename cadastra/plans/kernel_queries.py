@@ -13,6 +13,7 @@ from cadastra.functions.s2 import s2_token
 from cadastra.functions.shadows import shadow_area, sun_offset
 from cadastra.operators.cells import box_join
 from cadastra.plans.osm import assembled
+from cadastra.plans.polygons import box_wkb
 from cadastra.plans.stitch import stitched
 from cadastra.plans.tables import BOXES_SQL, boxes, gob_boxes, osm_boxes, table
 from cadastra.sources import metrics
@@ -35,11 +36,6 @@ def ring(x0, y0, x1, y1) -> np.ndarray:
     return np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)
 
 
-@F.pandas_udf(T.BinaryType())
-def box_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([G.write_wkb([[ring(*r)]]) for r in zip(x0, y0, x1, y1)])
-
-
 def wkb_boxes(df):
     return df.withColumn("geometry", box_wkb("x0", "y0", "x1", "y1"))
 
@@ -56,7 +52,7 @@ def geometry_metrics(spark, sf_dir):
     "i11_polygon_overlap",
     f"""WITH {BOXES_SQL} SELECT a.id AS a, b.id AS b, ((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)))::DOUBLE AS inter,
     (a.area + b.area - (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)))::DOUBLE AS joined
-    FROM osm a JOIN gob b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 WHERE a.k % 8 = 1""",
+    FROM osm a JOIN gob b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
 )
 def polygon_overlap(spark, sf_dir):
     """Intersection and union areas by the polygon kernel, on candidates of the cell join."""
@@ -110,7 +106,7 @@ SUN = (225.0, 40.0)
 
 @query(
     "k34_shadow_area",
-    f"""WITH {BOXES_SQL} SELECT id, floor(((x1 - x0) * (y1 - y0) + 10 / tan(radians(40)) * (abs(sin(radians(225))) * (y1 - y0) + abs(cos(radians(225))) * (x1 - x0))) * 1000 + 0.5) / 1000 AS area FROM osm WHERE k % 10 = 1""",
+    f"""WITH {BOXES_SQL} SELECT id, floor(((x1 - x0) * (y1 - y0) + 10 / tan(radians(40)) * (abs(sin(radians(225))) * (y1 - y0) + abs(cos(radians(225))) * (x1 - x0))) * 1000 + 0.5) / 1000 AS area FROM osm""",
 )
 def shadow_areas(spark, sf_dir):
     """Swept area of a prism 10 m high."""
@@ -159,6 +155,11 @@ def tallest_by_building(spark, sf_dir):
 
 @query("k44_tour_stops")
 def tour_stops(spark, sf_dir):
-    """The tallest, with room between them; a bounded top list is picked over on the driver."""
-    top = boxes(spark, sf_dir).orderBy(F.col("price").desc(), "k").limit(500).select("x0", "y0", "k", "price").collect()
-    return spark.createDataFrame(routes.spaced([tuple(r) for r in top], 10, 120.0), "x long, y long, k long, height double")
+    """The tallest, with room between them. The top list grows until it holds ten stops or the whole table."""
+    rows, limit = boxes(spark, sf_dir).orderBy(F.col("price").desc(), "k").select("x0", "y0", "k", "price"), 500
+    while True:
+        top = rows.limit(limit).collect()
+        stops = routes.spaced([tuple(r) for r in top], 10, 120.0)
+        if len(stops) >= 10 or len(top) < limit:
+            return spark.createDataFrame(stops, "x long, y long, k long, height double")
+        limit *= 8

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadastra.operators.graph import assign_ids
+from cadastra.operators.staging import stage
 
 # Tiers, their class lists and limits.
 TIERS = ("T1_iconic", "T1_landmark", "T2_commercial", "T2_highrise_residential", "T2_large", "T3_residential")
@@ -64,9 +65,9 @@ def tiers(canon: DataFrame, pinned: DataFrame | None = None, anchored: DataFrame
         df = df.withColumn("pin", F.lit(None).cast("boolean"))
     else:
         df = df.join(pinned.groupBy("id").agg(F.min("nearest").alias("pin")), "id", "left")
-    tag = lambda k: F.lower(F.col("tags")[k])
+    tag = lambda k: F.nullif(F.lower(F.trim(F.col("tags")[k])), F.lit(""))  # noqa: E731  a blank tag is none
     b = F.lower(F.trim("building"))
-    b = F.when(~b.isin(*NO_CLASS), b)
+    b = F.when(~b.isin("", *NO_CLASS), b)
     named = F.coalesce(F.trim("name"), F.lit("")) != ""
     high = (F.col("levels") >= HIGHRISE_LEVELS) | ((F.col("height_m") >= HIGHRISE_M) & ~F.col("height_provenance").isin("default", "landmark"))
     landmark = named & (
@@ -101,12 +102,26 @@ def part_tiers(parts: DataFrame, of: DataFrame) -> DataFrame:
     return parts.join(up, "parent").select("id", "tier", "rule", F.expr("cast(array() as array<string>)").alias("flags"))
 
 
-def stable_ids(rows: DataFrame, registry: DataFrame) -> DataFrame:
+def new_ids(keys: DataFrame, taken: DataFrame, build: str) -> DataFrame:
+    """(key, id): an id for each key from its build and key; one that any build has given (taken: id) is drawn again."""
+    draw, out, left = 0, None, keys
+    while True:
+        drawn = left.select("key", F.concat(F.lit("new:"), F.md5(F.concat_ws("|", F.lit(build), F.lit(str(draw)), "key").cast("binary"))).alias("id"))
+        drawn = stage(drawn.join(taken.select("id", F.lit(True).alias("held")).distinct(), "id", "left"), "new-ids")
+        part = drawn.where("held is null").select("key", "id")
+        out = part if out is None else out.unionByName(part)
+        left = drawn.where("held").select("key")
+        if left.isEmpty():
+            return out
+        draw += 1
+
+
+def stable_ids(rows: DataFrame, registry: DataFrame, build: str = "") -> DataFrame:
     """rows (key, locked_id, evidence array<string>), registry (key, building_id) -> key, building_id, how.
 
     In key order: a locked id goes to its first row; then the winner's registered id, where it is free; then the
-    first free registered id among the evidence, in its order. Rows left get an id from their key (kept ever after
-    by the registry).
+    first free registered id among the evidence, in its order. Rows left get an id from their key and the build, one
+    that no build has given before (kept ever after by the registry).
     """
     first = W.partitionBy("id").orderBy("key")
     locked = rows.where("locked_id is not null").select("key", F.col("locked_id").alias("id")).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
@@ -119,7 +134,8 @@ def stable_ids(rows: DataFrame, registry: DataFrame) -> DataFrame:
     wants = wants.join(registry.select(F.col("key").alias("e"), F.col("building_id").alias("id")), "e").join(taken, "id", "left_anti")
     wants = wants.groupBy("key", "id").agg(F.min("pref").alias("pref"))
     by_evidence = assign_ids(open_.select("key"), wants)
-    new = open_.select("key").join(by_evidence.select("key"), "key", "left_anti").select("key", F.concat(F.lit("new:"), F.md5(F.col("key").cast("binary"))).alias("id"))
+    given = registry.select(F.col("building_id").alias("id")).union(locked.select("id"))
+    new = new_ids(open_.select("key").join(by_evidence.select("key"), "key", "left_anti"), given, build)
     out = None
     for df, how in ((locked, "locked"), (own, "winner"), (by_evidence, "evidence"), (new, "new")):
         part = df.select("key", F.col("id").alias("building_id"), F.lit(how).alias("how"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cadastra.functions import geometry as G
@@ -165,6 +167,11 @@ def membership(spark, sf_dir):
     return resolved(spark, sf_dir)[3].select("id", "role", "winner", "inter")
 
 
+GROUP_IOU_SQL = """x AS (SELECT m.comp, m.wins, o.x0, o.x1, o.y0, o.y1 FROM members m JOIN (SELECT id, x0, y0, x1, y1 FROM osm UNION ALL SELECT id, x0, y0, x1, y1 FROM g) o USING (id)),
+    c1 AS (SELECT comp, wins, unnest(range(x0, x1)) AS cx, y0, y1 FROM x), c2 AS (SELECT DISTINCT comp, wins, cx, unnest(range(y0, y1)) AS cy FROM c1),
+    c3 AS (SELECT comp, cx, cy, count(*) AS n FROM c2 GROUP BY comp, cx, cy), giou AS (SELECT comp, count(*) FILTER (WHERE n = 2)::DOUBLE / count(*) AS iou FROM c3 GROUP BY comp)"""
+
+
 @query(
     "k15_group_iou",
     f"""WITH RECURSIVE {COMPONENTS_SQL}, x AS (SELECT m.comp, m.wins, o.x0, o.x1, o.y0, o.y1 FROM members m JOIN (SELECT id, x0, y0, x1, y1 FROM osm UNION ALL SELECT id, x0, y0, x1, y1 FROM g) o USING (id)),
@@ -263,7 +270,12 @@ def evidence_keys(spark, sf_dir):
     return C.evidence_keys(resolved(spark, sf_dir)[3]).select("id", F.array_join("keys", ",").alias("keys"))
 
 
-@query("k19_review_issues")
+@query(
+    "k19_review_issues",
+    f"""WITH RECURSIVE {COMPONENTS_SQL}, {{x}}, fin AS (SELECT g.comp, CASE WHEN relation = 'one_to_one' AND coalesce(iou, 0) < 0.5 THEN 'ambiguous' ELSE relation END AS relation FROM groups g LEFT JOIN giou USING (comp)),
+    mem AS (SELECT id, comp, 'winner' AS role, id AS winner FROM members WHERE wins UNION ALL SELECT id, comp, 'evidence', winner FROM attached)
+    SELECT id, relation AS issue_type, '0:' || comp AS gid, role, winner, CASE relation WHEN 'ambiguous' THEN 'high' ELSE 'medium' END AS severity FROM mem JOIN fin USING (comp) WHERE relation IN ('ambiguous', 'split', 'aggregate')""".format(x=GROUP_IOU_SQL),
+)
 def review_issues(spark, sf_dir):
     _, _, groups, members, canon, _ = canonical(spark, sf_dir)
     return C.review_issues(groups, members, canon, P)
@@ -426,7 +438,14 @@ for _name, _column, _edges in (("area", "area_pct", D.AREA_PCT_BINS), ("dh", "dh
     query(f"k29_histogram_{_name}", f"WITH {KEYED_SQL} SELECT CASE {_case} ELSE 0 END AS bin, count(*) AS n FROM (SELECT abs({_column}) AS x FROM cmp) WHERE x IS NOT NULL GROUP BY 1")(_histogram(_column, _edges))
 
 
-@query("e19_change_grid")
+@query(
+    "e19_change_grid",
+    f"""WITH {KEYED_SQL}, ga AS (SELECT floor((105.8::DOUBLE + mx / {DEG!r}) / 0.002::DOUBLE)::BIGINT AS gx, floor(my / {DEG!r} / 0.002::DOUBLE)::BIGINT AS gy, count(*) AS n_a, count(*) FILTER (WHERE status = 'removed') AS removed FROM sa JOIN st ON side = 'a' AND st.bid = sa.bid GROUP BY 1, 2),
+    gb AS (SELECT floor((105.8::DOUBLE + mx / {DEG!r}) / 0.002::DOUBLE)::BIGINT AS gx, floor(my / {DEG!r} / 0.002::DOUBLE)::BIGINT AS gy, count(*) AS n_b, count(*) FILTER (WHERE status = 'added') AS added FROM sb JOIN st ON side = 'b' AND st.bid = sb.bid GROUP BY 1, 2),
+    gc AS (SELECT floor((105.8::DOUBLE + bx / {DEG!r}) / 0.002::DOUBLE)::BIGINT AS gx, floor(by_ / {DEG!r} / 0.002::DOUBLE)::BIGINT AS gy, count(*) AS changed FROM cmp WHERE changed GROUP BY 1, 2),
+    grid AS (SELECT gx, gy, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(removed, 0) AS removed, coalesce(added, 0) AS added, coalesce(changed, 0) AS changed FROM ga FULL JOIN gb USING (gx, gy) FULL JOIN gc USING (gx, gy))
+    SELECT * FROM grid WHERE removed + added + changed > 0 ORDER BY removed + added + changed DESC, abs(n_b - n_a) DESC, gx, gy LIMIT 30""",
+)
 def change_grid(spark, sf_dir):
     """Changes by cell, the busiest first."""
     a, b, pairs_, c = compared(spark, sf_dir)
@@ -485,17 +504,29 @@ def reidentified(spark, sf_dir):
 def gate_counts(spark, sf_dir):
     """What the gate judges, in one row."""
     a, b, pairs_, c = compared(spark, sf_dir)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))  # noqa: E731  one row each
-    out = n(a, "n_a").crossJoin(n(b, "n_b")).crossJoin(n(D.statuses(a, pairs_, "a").where("status = 'removed'"), "removed"))
-    return out.crossJoin(n(pairs_, "matched")).crossJoin(n(c.where("geom_class = 'major'"), "major"))
+    none, rows = F.lit(0).cast("long"), F.count(F.lit(1))
+    kinds = ("n_a", "n_b", "removed", "matched", "major")
+    one = lambda df, **n: df.agg(*[n.get(k, none).alias(k) for k in kinds])  # noqa: E731  one row each
+    of_a = one(D.statuses(a, pairs_, "a"), n_a=rows, removed=F.count_if(F.col("status") == "removed"), matched=F.count_if(F.col("status") == "matched"))
+    parts = of_a.unionByName(one(b, n_b=rows)).unionByName(one(c, major=F.count_if(F.col("geom_class") == "major")))
+    return parts.agg(*[F.sum(k).alias(k) for k in kinds])
 
 
-@query("k31_gate_findings")
+@query(
+    "k31_gate_findings",
+    f"""WITH {KEYED_SQL}, n AS (SELECT (SELECT count(*) FROM sa)::DOUBLE AS na, (SELECT count(*) FROM sb)::DOUBLE AS nb, (SELECT count(*) FROM st WHERE status = 'removed')::DOUBLE AS gone, (SELECT count(*) FROM kp)::DOUBLE AS kept, (SELECT count(*) FROM cmp WHERE geom_class = 'major')::DOUBLE AS major,
+      (SELECT count(*) FROM sa WHERE key IS NULL) AS ea, (SELECT count(*) FROM sb WHERE key IS NULL) AS eb, (SELECT count(*) FROM (SELECT key FROM sa WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1)) AS da, (SELECT count(*) FROM (SELECT key FROM sb WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1)) AS db),
+    f AS (SELECT 'empty_keys_a' AS code, 'info' AS level, ea::DOUBLE AS value, ea > 0 AS holds FROM n UNION ALL SELECT 'empty_keys_b', 'fail', eb, eb > 0 FROM n UNION ALL SELECT 'dup_keys_a', 'info', da, da > 0 FROM n UNION ALL SELECT 'dup_keys_b', 'fail', db, db > 0 FROM n
+      UNION ALL SELECT 'count_change', CASE WHEN 100 * abs(nb - na) / na > 10 THEN 'fail' ELSE 'warn' END, 100 * abs(nb - na) / na, 100 * abs(nb - na) / na > 2 FROM n
+      UNION ALL SELECT 'removed', CASE WHEN 100 * gone / na > 5 THEN 'fail' ELSE 'warn' END, 100 * gone / na, 100 * gone / na > 1 FROM n UNION ALL SELECT 'geom_major', 'warn', 100 * major / kept, 100 * major / kept > 2 FROM n)
+    SELECT CASE WHEN bool_or(level = 'fail') OVER () THEN 'fail' WHEN bool_or(level = 'warn') OVER () THEN 'warn' ELSE 'pass' END AS verdict, code, level, value FROM f WHERE holds""",
+)
 def gate_findings(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     m = gate_counts(spark, sf_dir).first().asDict()
-    for side, df in (("a", a), ("b", b)):
-        m |= {f"{k}_{side}": v for k, v in D.quality(df).first().asDict().items() if k != "buildings"}
+    one = lambda df, side: D.quality(df).drop("buildings").withColumn("side", F.lit(side))
+    for r in one(a, "a").unionByName(one(b, "b")).collect():  # a row for each side
+        m |= {f"{k}_{r.side}": v for k, v in r.asDict().items() if k != "side"}
     verdict, found = D.gate(m)
     return spark.createDataFrame([(verdict, *f) for f in found] or [(verdict, "none", "info", 0.0)], "verdict string, code string, level string, value double")
 
@@ -516,12 +547,25 @@ def tile_index(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", G.tile_index(F.col("o_orderkey") * 997.5, 17).alias("tx"))
 
 
+_N = (1 / 298.257223563) / (2 - 1 / 298.257223563)
+_E = 2 * math.sqrt(_N) / (1 + _N)
+_SERIES = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_SCALE = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_SH, _CH = "((exp({0}) - exp(-({0}))) / 2)", "((exp({0}) + exp(-({0}))) / 2)"
+UTM_SQL = f"""WITH q AS (SELECT o_orderkey, 105.0::DOUBLE + o_orderkey % 1000 / 1000.0::DOUBLE AS lon, 21.0::DOUBLE + o_custkey % 100 / 100.0::DOUBLE AS lat FROM orders),
+    r AS (SELECT o_orderkey, radians(lon - (floor((lon + 180) / 6) + 1) * 6 + 183) AS lam, sin(radians(lat)) AS s FROM q),
+    t AS (SELECT o_orderkey, lam, {_SH.format(f"0.5 * ln((1 + s) / (1 - s)) - {_E!r} * 0.5 * ln((1 + {_E!r} * s) / (1 - {_E!r} * s))")} AS t FROM r),
+    x AS (SELECT o_orderkey, atan2(t, cos(lam)) AS xi, 0.5 * ln((1 + sin(lam) / sqrt(1 + t * t)) / (1 - sin(lam) / sqrt(1 + t * t))) AS eta FROM t)
+    SELECT o_orderkey, floor((500000 + {_SCALE!r} * (eta + {" + ".join(f"{c!r} * cos({2 * j} * xi) * {_SH.format(f'{2 * j} * eta')}" for j, c in enumerate(_SERIES, 1))})) * 1e6 + 0.5) / 1e6 AS east,
+    floor({_SCALE!r} * (xi + {" + ".join(f"{c!r} * sin({2 * j} * xi) * {_CH.format(f'{2 * j} * eta')}" for j, c in enumerate(_SERIES, 1))}) * 1e6 + 0.5) / 1e6 AS north FROM x"""
+
+
 @query("i10_utm_zone", "SELECT c_custkey, 32600 + least(60, greatest(1, floor((c_custkey % 360 - 180 + 180) / 6) + 1))::INTEGER AS epsg FROM customer")
 def utm_zone(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", G.utm_epsg(F.col("c_custkey") % 360 - 180, F.lit(21.0)).alias("epsg"))
 
 
-@query("i10_utm_forward")
+@query("i10_utm_forward", UTM_SQL)
 def utm_forward(spark, sf_dir):
     east, north = G.utm_forward(105.0 + F.col("o_orderkey") % 1000 / 1000, 21.0 + F.col("o_custkey") % 100 / 100)
     return table(spark, sf_dir, "orders").select("o_orderkey", six(east).alias("east"), six(north).alias("north"))

@@ -115,7 +115,7 @@ OVERPASS = (
 
 @F.pandas_udf(T.BinaryType())
 def assembled(kind: pd.Series, geometry: pd.Series, members: pd.Series) -> pd.Series:
-    """A closed way, or a multipolygon relation's rings with their holes; null where a ring stays open."""
+    """A closed way, or the closed rings of a multipolygon relation with their holes; null without a closed outer ring."""
     points = lambda g: [(p["lon"], p["lat"]) for p in g if p is not None]
 
     def one(k, g, m):
@@ -125,8 +125,8 @@ def assembled(kind: pd.Series, geometry: pd.Series, members: pd.Series) -> pd.Se
         if m is None:
             return None
         ways = {role: [points(x["geometry"]) for x in m if x["geometry"] is not None and (x["role"] == "inner") == (role == "inner")] for role in ("outer", "inner")}
-        outer, inner = stitch(ways["outer"]), stitch(ways["inner"])
-        found = polygons(outer, inner or []) if outer else []
+        (outer, _), (inner, _) = stitch(ways["outer"]), stitch(ways["inner"])
+        found = polygons(outer, inner)
         return write_wkb(found) if found else None
 
     return pd.Series([one(*r) for r in zip(kind, geometry, members)])
@@ -236,6 +236,6 @@ def newest_release(names: list[str]) -> str | None:
 
 
 def newest_covering(snapshots: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
-    """The newest snapshot (created, west, south, east, north) that covers a box."""
+    """The newest snapshot (created, west, south, east, north) that covers a box; of equal age the smallest, then the westernmost."""
     covers = (F.col("west") <= west) & (F.col("south") <= south) & (F.col("east") >= east) & (F.col("north") >= north)
-    return snapshots.where(covers).orderBy(F.col("created").desc()).limit(1)
+    return snapshots.where(covers).orderBy(F.col("created").desc(), (F.col("east") - F.col("west")) * (F.col("north") - F.col("south")), "west", "south", "east", "north").limit(1)

@@ -17,7 +17,9 @@ from cadastra.operators import graph, sinks
 from cadastra.plans import conflation as C
 from cadastra.plans import diff as D
 from cadastra.plans import release as R
-from cadastra.plans import osm, schema
+from cadastra.functions import formats
+from cadastra.plans import canonical, convert, landmarks, osm, schema
+from cadastra.plans.polygons import box_wkb
 
 
 def box(x0, y0, x1, y1):
@@ -74,8 +76,12 @@ def test_s2():
 
 def test_rings_and_routes():
     a, b, c, d = (0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)
-    (ring,) = rings.stitch([[a, b, c], [a, d, c]])
-    assert abs(G.ring_area(ring)) == 16 and rings.stitch([[a, b, c]]) is None
+    (ring,), open_ = rings.stitch([[a, b, c], [a, d, c]])
+    assert abs(G.ring_area(ring)) == 16 and open_ == 0 and rings.stitch([[a, b, c]]) == ([], 1)
+    # one way of another ring is missing: the closed one stays
+    e, f, g = (9.0, 9.0), (12.0, 9.0), (12.0, 12.0)
+    found, open_ = rings.stitch([[e, f], [a, b, c], [c, d, a], [f, g]])
+    assert len(found) == 1 and abs(G.ring_area(found[0])) == 16 and open_ == 1
     assert rings.is_closed([a, b, c, a]) and not rings.is_closed([a, b, a])
     assert len(rings.polygons([ring], [box(1, 1, 2, 2)[0], box(9, 9, 10, 10)[0]])[0]) == 2
     edges = [("a", "b", 1, "door"), ("b", "c", 1, "stairs"), ("a", "c", 5, "door")]
@@ -145,6 +151,71 @@ def test_stable_ids(spark):
     assert after["a"] == "L" and after["e1"] == "B" and after["z"] == "Z"
 
 
+def test_ids_over_several_builds(spark):
+    """A key that was inherited once and stands alone again gets an id that no build has given."""
+    schema, known = "key string, locked_id string, evidence array<string>", "key string, building_id string"
+    registry, seen = spark.createDataFrame([], known), set()
+    builds = ([("Z", None, [])], [("B", None, ["Z"])], [("B", None, []), ("Z", None, [])], [("Z", None, ["B"]), ("q", None, [])])
+    for n, rows in enumerate(builds):
+        now = spark.createDataFrame(rows, schema)
+        for name in (f"b{n}", ""):  # the same build name again and again, too
+            ids = R.stable_ids(now, registry, name)
+            found = {r.key: r.building_id for r in ids.collect()}
+            assert len(set(found.values())) == len(rows)
+        registry = spark.createDataFrame([tuple(r) for r in R.updated_registry(registry, now, ids).collect()], known)
+        seen |= set(found.values())
+    assert len(seen) == 3  # Z's first id, which B keeps, then one for Z, then one for q
+
+
+def test_group_iou_of_many_boxes(spark):
+    rng = random.Random(8)
+    rows, members = [], []
+    for g in range(30):
+        for k in range(rng.randint(1, 6)):
+            x, y = rng.randint(0, 12), rng.randint(0, 12)
+            side = "winner" if k == 0 or rng.random() < 0.4 else "evidence"
+            rows.append((f"{g}/{k}", x, y, x + rng.randint(1, 9), y + rng.randint(1, 9)))
+            members.append((f"{g}/{k}", f"g{g}", side))
+    size = {r[0]: (r[3] - r[1]) * (r[4] - r[2]) for r in rows}
+    box_of = {r[0]: r[1:] for r in rows}
+    cells = {i: {(x, y) for x in range(b[0], b[2]) for y in range(b[1], b[3])} for i, b in box_of.items()}
+    first = {g: next(i for i, h, _ in members if h == g) for _, g, _ in members}
+    inter = [(i, g, s, float(len(cells[i] & cells[first[g]])) if s == "evidence" else None) for i, g, s in members]
+    side = lambda g, s: set().union(*(cells[i] for i, h, t in members if (h, t) == (g, s)), set())
+    want = {}
+    for g in first:
+        w, e = side(g, "winner"), side(g, "evidence")
+        want[g] = len(w & e) / len(w | e) if e else None
+    obs = spark.createDataFrame([(i, float(size[i]), *b) for i, b in box_of.items()], "id string, area double, x0 int, y0 int, x1 int, y1 int")
+    m = spark.createDataFrame(inter, "id string, gid string, role string, inter double")
+    shapes = obs.withColumn("geometry", box_wkb("x0", "y0", "x1", "y1"))
+    for o in (obs, shapes):
+        got = {r.gid: r.group_iou for r in C.group_iou(m, o).collect()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_conflation_of_polygons_in_three_families(spark):
+    """Evidence that overlaps no winner is resolved by itself, on polygons whose boxes would all overlap."""
+    shapes = {
+        "osm": [("o1", [(0, 0), (40, 0), (40, 10), (10, 10), (10, 40), (0, 40)])],
+        "gob": [("g1", [(0, 0), (40, 0), (40, 10), (10, 10), (10, 38), (0, 38)]), ("g2", [(20, 20), (40, 20), (40, 40), (20, 40)])],
+        "gba_ms": [("m1", [(20, 20), (40, 20), (40, 38), (20, 38)]), ("m2", [(4, 4), (9, 4), (9, 9), (4, 9)])],
+    }
+    sources_ = {}
+    for family, rows in shapes.items():
+        made = [(i, G.ring_area(np.array(r, float)), *np.min(r, 0).tolist(), *np.max(r, 0).tolist(), G.write_wkb([[np.array(r, float)]])) for i, r in rows]
+        sources_[family] = spark.createDataFrame([(i, a, float(x0), float(y0), float(x1), float(y1), w) for i, a, x0, y0, x1, y1, w in made], "id string, area double, x0 double, y0 double, x1 double, y1 double, geometry binary")
+    p = C.Params()
+    obs = C.observations(sources_, p)
+    pairs = C.overlap_pairs(obs, p)
+    assert {(r.a, r.b) for r in pairs.collect()} == {("o1", "g1"), ("o1", "m2"), ("g1", "m2"), ("g2", "m1")}
+    groups, members = C.resolve(obs, pairs, p)
+    roles = {r.id: (r.role, r.winner) for r in members.collect()}
+    assert roles == {"o1": ("winner", "o1"), "g1": ("evidence", "o1"), "m2": ("evidence", "o1"), "g2": ("winner", "g2"), "m1": ("evidence", "g2")}
+    iou = {r.gid: r.group_iou for r in C.group_iou(members, obs).collect()}
+    assert iou["0:g1"] == pytest.approx(680 / 700) and iou["0:g2"] == pytest.approx(0.9)
+
+
 def test_serial_dictatorship(spark):
     rng = random.Random(3)
     wanted = [(f"k{k:02}", p, f"i{i}") for k in range(30) for p, i in enumerate(rng.sample(range(25), rng.randint(0, 4)))]
@@ -223,3 +294,83 @@ def test_pins_and_parts(spark):
     assert got == {"a": ("T1_iconic", 1, ["iconic_pin_nearest"]), "b": ("T3_residential", 0, ["minor_structure", "tiny_footprint_qc"])}
     up = R.part_tiers(spark.createDataFrame([("p", "a")], "id string, parent string"), R.tiers(canon, pinned=pins)).first()
     assert (up.tier, up.flags) == ("T1_iconic", [])
+
+
+def test_hstore(spark):
+    text = '"a"=>"1", "b" => "x, y", "c"=>NULL, "d" =>"q\\"uote", "a"=>"2", "e"=>"null"'
+    row = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(tags.hstore(F.col("t")).alias("m")).collect()
+    assert [r.m for r in row] == [{"b": "x, y", "c": None, "d": 'q"uote', "a": "2", "e": "null"}, {}, None]
+
+
+def test_blank_tags_set_no_tier(spark):
+    rows = [(1, "yes", "A", {"wikidata": " ", "historic": "tomb"}), (2, "yes", "A", {"wikidata": "", "tourism": "museum"}), (3, " ", "A", {"wikidata": "Q1", "tourism": " Museum "})]
+    df = spark.createDataFrame([(*r, None, 5.0, "default", 100.0) for r in rows], "id int, building string, name string, tags map<string,string>, levels double, height_m double, height_provenance string, area double")
+    assert {r.id: r.rule for r in R.tiers(df).collect()} == {1: 2, 2: 0, 3: 2}
+
+
+def test_colours(spark):
+    want = {
+        "#fff": "#ffffff", "#0f08": "rgba(0, 255, 0, 0.533)", "#12AB34": "#12ab34", "#11223380": "rgba(17, 34, 51, 0.502)", "rgb(255, 0, 10)": "#ff000a",
+        "rgba(100%, 0%, 50%, .5)": "rgba(255, 0, 128, 0.5)", "hsl(0, 100%, 50%)": "#ff0000", "hsl(120deg 100% 25%)": "#008000", "hsla(240,100%,50%,1)": "#0000ff", "HSL(60, 100%, 50%)": "#ffff00",
+        "hsl(-30, 50%, 50%)": "#bf4080", "rgb(300,-5,0)": "#ff0000", "#12345": None, "red": None, "": None, "rgb(1,2)": None, "rgb(a,b,c)": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r.t: r.c for r in df.select("t", formats.colour_text(formats.colour(F.col("t"))).alias("c")).collect()} == want
+
+
+def test_hexagon_cells(spark):
+    cells = {"8828308281fffff": 8, "8001fffffffffff": 0, "8f2830828052d25": 15, "85283473fffffff": 5, "8828308281ffff7": None, "882830828": None, "ffffffffffffffff": None, "88283082810ffff": None, "81083ffffffffff": 1, "81087ffffffffff": None}
+    df = spark.createDataFrame([(k,) for k in cells], "c string")
+    assert {r.c: r.r for r in df.select("c", formats.hex_cell_resolution(F.col("c")).alias("r")).collect()} == cells
+    pasted = "[\"8828308281fffff\", '85283473fffffff'; nonsense 8828308281FFFFF]"
+    got = spark.createDataFrame([(pasted,)], "t string").select(formats.cells_listed(F.col("t")).alias("l")).first().l
+    assert (got.cells, got.bad) == (["8828308281fffff", "85283473fffffff"], ["nonsense"])
+
+
+def test_labels_and_places(spark):
+    row = spark.range(1).select(
+        formats.column_letter(F.lit(0)).alias("a"), formats.column_letter(F.lit(25)).alias("z"), formats.column_letter(F.lit(26)).alias("aa"), formats.column_letter(F.lit(701)).alias("zz"), formats.column_letter(F.lit(702)).alias("aaa"),
+        formats.safe_name(F.lit("../a b/c?.gpkg")).alias("file"), formats.safe_name(F.lit("??")).alias("none"),
+        landmarks.checked_placement(F.lit(-30.0), F.lit(1.0), F.lit(105.8), F.lit(21.0)).alias("good"), landmarks.checked_placement(F.lit(1.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bad"),
+    ).first()
+    assert tuple(row)[:7] == ("A", "Z", "AA", "ZZ", "AAA", "a_b_c_.gpkg", "file") and row.good.heading == 330 and row.bad is None
+
+
+def test_convert_columns():
+    fields = ["id", "parent_id", "h", "h_src", "height_m", "name"]
+    spec = convert.ConvertSpec(rule=convert.HeightRule(), height="h")
+    assert convert.passed_through(fields, spec) == ["id", "parent_id", "h", "name"]
+    assert convert.passed_through(fields, convert.ConvertSpec()) == ["id", "parent_id", "h", "name"]
+    assert convert.passed_through(fields, convert.ConvertSpec(columns=("h_src", "name"))) == ["h_src", "name"]
+    assert convert.passed_through(fields, convert.ConvertSpec(columns=("name", "h_src"), rule=convert.HeightRule(), parts=("id", "parent_id"))) == ["name", "id", "parent_id"]
+    for bad in (convert.ConvertSpec(columns=("nope",)), convert.ConvertSpec(parts=("id", "nope")), convert.ConvertSpec(categories=("nope",))):
+        with pytest.raises(ValueError):
+            convert.passed_through(fields, bad)
+    assert convert.without_reserved(["id", "__area", "_bid"], {"id": "id", "parent": None}, ("_bid",)) == ["id"]
+    with pytest.raises(ValueError):
+        convert.without_reserved(["id", "__area"], {"height": "__area"})
+
+
+def test_modes_and_ignored_columns():
+    assert D.match_mode("id", "id") == "key" and D.match_mode("id", "key") == D.match_mode(None, None) == "location" and D.match_mode("id", None, "key") == "key"
+    assert D.ignored_columns("key", ["name", "build_id"]) == ("build_id",) and D.ignored_columns("location", ["name"]) == ("name",) and D.ignored_columns("key", ["build_id"], ()) == ()
+
+
+def test_ellipsoid_and_buffers():
+    half = [np.array([[0, 0], [90, 0], [90, 90], [0, 90]], float)]
+    assert G.spheroid_area(half) == pytest.approx(510065621724089 / 8, rel=1e-9)
+    small = [np.array([[105, 21], [105.01, 21], [105.01, 21.01], [105, 21.01]], float)]
+    a, e2, lat = 6378137.0, 0.00669437999014, math.radians(21.005)
+    w = 1 - e2 * math.sin(lat) ** 2
+    assert G.spheroid_area(small) == pytest.approx(a * a * (1 - e2) * math.cos(lat) / w**2 * math.radians(0.01) ** 2, rel=1e-6)
+    assert abs(G.ring_area(G.capsule((0, 0), (30, 40), 5, 256))) == pytest.approx(50 * 10 + math.pi * 25, rel=1e-4)
+    bend = G.buffered_line([(0, 0), (20, 0), (20, 20)], 2, 64)
+    # two strips without the square in which they meet, two ends and a quarter of a disc at the bend
+    assert G.union([bend[0]], [bend[1]])[0] == pytest.approx(160 - 4 + 4 * math.pi + math.pi, rel=1e-3)
+
+
+def test_legacy_heights(spark):
+    df = spark.createDataFrame([(1, 5.0, "default", 1), (2, 6.0, "survey", 0), (3, None, None, None)], "bid int, h_m double, prov string, h_outlier int")
+    rule = convert.HeightRule(placeholders=("default",))
+    assert [tuple(r) for r in D.loaded(df, rule, None, None, "prov").select("h", "real", "outlier").orderBy("bid").collect()] == [(5.0, False, True), (6.0, True, False), (None, True, False)]
+    assert [r.real for r in D.loaded(df.drop("prov", "h_outlier")).collect()] == [None] * 3
