@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Footprints are integer boxes computed from orders; the moduli keep overlaps as frequent at either size.
-MODULI = ((20_000, 3001, 3011), (10**18, 7993, 8009))
+#: Footprints are integer boxes computed from orders; the extent grows with the root of their number, so that
+#: overlaps are as frequent at any size (small tables keep the least extent).
+LEAST, PER_ROOT = (3001, 3011), (20.64, 20.68)
 
 #: The same for SQL: table b(k, c, x0, y0, w, h).
 BOXES_SQL = """m AS (
-  SELECT CASE WHEN count(*) <= 20000 THEN 3001 ELSE 7993 END AS mx, CASE WHEN count(*) <= 20000 THEN 3011 ELSE 8009 END AS my FROM orders
+  SELECT greatest(3001, floor(sqrt(count(*)) * 20.64::DOUBLE)::BIGINT) AS mx, greatest(3011, floor(sqrt(count(*)) * 20.68::DOUBLE)::BIGINT) AS my FROM orders
 ), b AS (
   SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS price, o_orderkey * 7919 % mx AS x0, o_orderkey * 104729 % my AS y0,
          6 + o_orderkey % 19 AS w, 6 + o_custkey % 17 AS h
@@ -32,7 +35,7 @@ BOXES_SQL = """m AS (
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("price"))
     n = orders.count()  # from the footer
-    _, mx, my = next(m for m in MODULI if n <= m[0])
+    mx, my = (max(least, math.floor(math.sqrt(n) * per)) for least, per in zip(LEAST, PER_ROOT))
     return orders.select("k", "c", "price", (F.col("k") * 7919 % mx).alias("x0"), (F.col("k") * 104729 % my).alias("y0"), (6 + F.col("k") % 19).alias("w"), (6 + F.col("c") % 17).alias("h"))
 
 
