@@ -6,6 +6,7 @@ import json
 import os
 import sqlite3
 import struct
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,3 +88,17 @@ def observed_count(spark: SparkSession, df: DataFrame, name: str):
 
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write df beside path and put it in its place only when it is whole; a failed write leaves the old table."""
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    place = lambda suffix: jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{suffix}")
+    fs = place("").getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path.rstrip('/')}{new}")
+    if fs.exists(place("")):
+        fs.rename(place(""), place(old))
+    if not fs.rename(place(new), place("")):
+        raise OSError(f"{path} could not be replaced; the new table is {path}{new}")
+    fs.delete(place(old), True)

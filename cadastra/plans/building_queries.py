@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadastra import sources
 from cadastra.functions import formats
 from cadastra.functions import geometry as G
 from cadastra.functions.heights import HeightRule
 from cadastra.plans import canonical, convert, landmarks
 from cadastra.plans import conflation as C
 from cadastra.plans import diff as D
-from cadastra.plans.polygons import containers, overlaps, rings_wkb
+from cadastra.plans.polygons import box_wkb, containers, edge_extents, overlaps, rings_wkb
 from cadastra.plans.spatial_queries import DEG, KEYED_SQL, POINTS_SQL, compared, points
 from cadastra.plans.tables import BOXES_SQL, boxes, gob_boxes, osm_boxes, table
 
@@ -443,3 +444,38 @@ def labels(spark, sf_dir):
 def extents(spark, sf_dir):
     """Could an extent be in degrees?"""
     return osm_boxes(spark, sf_dir).select("id", formats.looks_like_degrees(F.col("x0") - 200, F.col("y0") - 100, F.col("x1") - 200, F.col("y1") - 100).alias("degrees"))
+
+
+# ---- sources and tile pieces ----------------------------------------------------------------------
+
+
+@query("a17_resolved_columns", "SELECT c_custkey AS id, c_acctbal AS height, NULL::INTEGER AS floors FROM customer")
+def resolved_columns(spark, sf_dir):
+    """A table read by what its columns may be called."""
+    wanted = {"id": ("ID", "C_CustKey"), "height": ("h", "Height", "c_acctbal", "c_name"), "floors": ("levels", "floors")}
+    return sources.resolved(table(spark, sf_dir, "customer"), wanted, ("id",)).withColumn("floors", F.col("floors").cast("int"))
+
+
+@query("a18_places", "SELECT s_suppkey AS id, s_name AS category FROM supplier WHERE s_suppkey % 5 > 0 AND NOT coalesce(s_suppkey % 7 = 0 AND s_suppkey % 2 = 0, false)")
+def places(spark, sf_dir):
+    """Places with their required columns and without deleted ones."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("id"), F.when(k % 5 > 0, F.col("s_name")).alias("category"), F.when(k % 2 == 0, k % 7 == 0).alias("gone"))
+    return sources.places(rows, ("id", "category"), "gone").select("id", "category")
+
+
+@query(
+    "i18_edge_extents",
+    f"""WITH {BOXES_SQL}, t AS (SELECT id, x0, y0, x1, y1, unnest(range(x0 // 64, (x1 - 1) // 64 + 1)) AS tx FROM osm), u AS (SELECT *, unnest(range(y0 // 64, (y1 - 1) // 64 + 1)) AS ty FROM t),
+    p AS (SELECT id, tx, ty, greatest(x0, tx * 64)::DOUBLE AS a, least(x1, tx * 64 + 64)::DOUBLE AS b, greatest(y0, ty * 64)::DOUBLE AS c, least(y1, ty * 64 + 64)::DOUBLE AS d FROM u)
+    SELECT id, tx, ty, CASE WHEN a = tx * 64 THEN c END AS w0, CASE WHEN a = tx * 64 THEN d END AS w1, CASE WHEN b = tx * 64 + 64 THEN c END AS e0, CASE WHEN b = tx * 64 + 64 THEN d END AS e1,
+      CASE WHEN c = ty * 64 THEN a END AS s0, CASE WHEN c = ty * 64 THEN b END AS s1, CASE WHEN d = ty * 64 + 64 THEN a END AS n0, CASE WHEN d = ty * 64 + 64 THEN b END AS n1 FROM p""",
+)
+def tile_edges(spark, sf_dir):
+    """Where clipped pieces touch the sides of their tiles."""
+    cut = lambda lo, hi: F.sequence(F.floor(F.col(lo) / 64), F.floor((F.col(hi) - 1) / 64))
+    p = osm_boxes(spark, sf_dir).withColumn("tx", F.explode(cut("x0", "x1"))).withColumn("ty", F.explode(cut("y0", "y1")))
+    west, south = F.col("tx") * 64, F.col("ty") * 64
+    piece = box_wkb(F.greatest("x0", west), F.greatest("y0", south), F.least("x1", west + 64), F.least("y1", south + 64))
+    side = edge_extents(piece, west, south, west + 64, south + 64)
+    return p.select("id", "tx", "ty", side.alias("e")).select("id", "tx", "ty", "e.*")

@@ -48,6 +48,16 @@ class Params:
     cell: float = 32.0
 
 
+#: Versions of the configuration; a published version is never changed.
+CONFIGS = {"v1": Params()}
+
+
+def config(version: str) -> Params:
+    if version not in CONFIGS:
+        raise ValueError(f"unknown configuration {version}; there are {', '.join(sorted(CONFIGS))}")
+    return CONFIGS[version]
+
+
 def observations(sources: dict[str, DataFrame], p: Params) -> DataFrame:
     """id, family, rank, area and box of all usable footprints of all sources."""
     out = None

@@ -58,12 +58,14 @@ def key_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def location_candidates(a: DataFrame, b: DataFrame, cell: float = MATCH_CELL_DEG) -> DataFrame:
-    """(a, b, d) of buildings close enough and of similar area; the cell is wider than any radius, so the 3 x 3 cells around hold all."""
+    """(a, b, d) of buildings close enough and of similar area. b is dealt to the cells that the widest radius touches (up to 89 degrees north and south)."""
     grid = lambda v: F.floor(F.col(v) / cell).cast("long")
     x = a.where("cx is not null").select(F.col("bid").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("area").alias("aa"), grid("cx").alias("gx"), grid("cy").alias("gy"))
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    y = b.where("cx is not null").select(F.col("bid").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("area").alias("ba"), grid("cx").alias("x"), grid("cy").alias("y"))
-    y = y.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumn("gx", F.col("x") + F.col("dx")).withColumn("gy", F.col("y") + F.col("dy"))
+    reach = MATCH_RADIUS_M[1] / M_PER_DEG * 1.0001
+    wide = reach / F.greatest(F.cos(F.radians(F.abs("cy") + cell)), F.lit(0.01))
+    span = lambda c, r: F.explode(F.sequence(F.floor((F.col(c) - r) / cell).cast("long"), F.floor((F.col(c) + r) / cell).cast("long")))
+    y = b.where("cx is not null").withColumn("gx", span("cx", wide)).withColumn("gy", span("cy", F.lit(reach)))
+    y = y.select(F.col("bid").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("area").alias("ba"), "gx", "gy")
     zero = F.lit(0.0)
     low, high = MATCH_RADIUS_M
     radius = F.least(F.lit(high), F.greatest(F.lit(low), 0.5 * F.sqrt(F.greatest(F.coalesce("aa", zero), F.coalesce("ba", zero)))))

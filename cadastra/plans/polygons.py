@@ -47,3 +47,20 @@ def containers(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame
     """Points (px, py, any columns) with each polygon that holds them, prefixed p_ and b_."""
     near = point_in_box(points, polygons, cell)
     return near.where(holds("b_geometry", F.col("px").cast("double"), F.col("py").cast("double")))
+
+
+SIDES = ("w0", "w1", "e0", "e1", "s0", "s1", "n0", "n1")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SIDES]))
+def edge_extents(geometry: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
+    """Extent of a polygon's corners along each side of its tile; null where it does not touch the side."""
+    rows = []
+    for wkb, *box in zip(geometry, x0, y0, x1, y1):
+        points = np.concatenate([r for p in G.read_wkb(wkb) for r in p] or [np.zeros((0, 2))])
+        row = []
+        for axis, limit in ((0, box[0]), (0, box[2]), (1, box[1]), (1, box[3])):
+            along = points[np.isclose(points[:, axis], limit, rtol=0, atol=1e-9), 1 - axis]
+            row += [along.min(), along.max()] if len(along) else [None, None]
+        rows.append(row)
+    return pd.DataFrame(rows, columns=list(SIDES), dtype=float)

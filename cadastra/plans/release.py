@@ -168,3 +168,13 @@ def invariants(canon: DataFrame, members: DataFrame, ids: DataFrame) -> DataFram
     for c in checks[1:]:
         out = out.unionByName(c)
     return out
+
+
+#: Versions of the tier rules; a published version is never changed.
+RULES = {"v1": tiers}
+
+
+def rule(version: str):
+    if version not in RULES:
+        raise ValueError(f"unknown rule {version}; there are {', '.join(sorted(RULES))}")
+    return RULES[version]

@@ -239,3 +239,25 @@ def newest_covering(snapshots: DataFrame, west: float, south: float, east: float
     """The newest snapshot (created, west, south, east, north) that covers a box; of equal age the smallest, then the westernmost."""
     covers = (F.col("west") <= west) & (F.col("south") <= south) & (F.col("east") >= east) & (F.col("north") >= north)
     return snapshots.where(covers).orderBy(F.col("created").desc(), (F.col("east") - F.col("west")) * (F.col("north") - F.col("south")), "west", "south", "east", "north").limit(1)
+
+
+def resolved(df: DataFrame, wanted: dict[str, tuple[str, ...]], required: tuple[str, ...] = ()) -> DataFrame:
+    """Columns by their wanted names, each from the first of its candidates that df has, whatever its case.
+
+    One without a candidate is null, or an error if it is required.
+    """
+    have = {c.lower(): c for c in reversed(df.columns)}
+    found = {name: next((have[c.lower()] for c in candidates if c.lower() in have), None) for name, candidates in wanted.items()}
+    absent = [name for name in required if found.get(name) is None]
+    if absent:
+        raise ValueError(f"no column for {', '.join(absent)}")
+    return df.select(*[(F.col(f"`{c}`") if c else F.lit(None)).alias(name) for name, c in found.items()])
+
+
+def places(df: DataFrame, required: tuple[str, ...] = ("id", "category", "lon", "lat"), deleted: str | None = None) -> DataFrame:
+    """Points of interest with their required columns set, without those marked as deleted (an unset mark is none)."""
+    absent = [c for c in (*required, *([deleted] if deleted else [])) if c not in df.columns]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)}")
+    out = df.dropna(subset=list(required))
+    return out.where(~F.coalesce(F.col(deleted).try_cast("boolean"), F.lit(False))) if deleted else out

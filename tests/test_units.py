@@ -104,7 +104,7 @@ def test_tag_parsing(spark):
     assert {r.t: r.m for r in df.select("t", tags.levels(F.col("t"), 1).alias("m")).collect()} == levels
 
 
-def test_schema_and_gate():
+def test_schema_and_gate(spark):
     a = schema.StructType.fromDDL("id string, n int, h double, gone string, t timestamp")
     b = schema.StructType.fromDDL("id string, n double, h int, t string, new string")
     found = {(f[0], f[2]) for f in schema.schema_diff(a, b, required=("gone",))}
@@ -374,3 +374,28 @@ def test_legacy_heights(spark):
     rule = convert.HeightRule(placeholders=("default",))
     assert [tuple(r) for r in D.loaded(df, rule, None, None, "prov").select("h", "real", "outlier").orderBy("bid").collect()] == [(5.0, False, True), (6.0, True, False), (None, True, False)]
     assert [r.real for r in D.loaded(df.drop("prov", "h_outlier")).collect()] == [None] * 3
+
+
+def test_versions_and_sources(spark, tmp_path):
+    assert R.rule("v1") is R.tiers and C.config("v1") == C.Params()
+    for ask in (R.rule, C.config):
+        with pytest.raises(ValueError):
+            ask("v0")
+    df = spark.createDataFrame([(1, "a", True), (2, None, None), (3, "b", None)], "ID int, category string, gone boolean")
+    assert [tuple(r) for r in sources.resolved(df, {"id": ("fid", "id"), "x": ("nope",)}).collect()] == [(1, None), (2, None), (3, None)]
+    assert [r.ID for r in sources.places(df, ("ID", "category"), "gone").collect()] == [3]
+    for bad in (lambda: sources.places(df), lambda: sources.resolved(df, {"x": ("nope",)}, ("x",))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_table_is_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/registry"
+    for n in (3, 5):
+        sinks.replace_table(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    broken = spark.range(4).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        sinks.replace_table(broken, path)
+    assert spark.read.parquet(path).count() == 5
+    assert [p.name for p in tmp_path.iterdir() if ".old" in p.name] == []
