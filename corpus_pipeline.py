@@ -1,6 +1,11 @@
 """Raw documents to a token store: language, near-duplicates, benchmark leaks, mix, tokens.
 
 Every stage takes all documents that the one before kept. All but the last return the columns of documents.
+
+Nulls, empty texts and odd tables: a null or empty text is in no language and goes at the first stage. Later stages take
+null texts as empty: they share a near-duplicate class, hold no benchmark item and have no words to mix. Rows without
+an id belong to no class and stay; a null source is a source of its own. Rows that repeat a document share its class
+and are mixed each by itself. Extra columns pass through whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from cadastra.llm.token_store import token_store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Models from the labelled documents; what has no letter is in no language and goes."""
+    """Models from the labelled documents; what has no letter is in no language and goes. A null lang becomes the one found."""
     return in_a_language(docs, samples(docs))
 
 
