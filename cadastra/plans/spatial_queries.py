@@ -376,7 +376,7 @@ def sides(spark, sf_dir):
     k = F.col("k")
     mx, my = F.col("x0") + F.col("w") / 2, F.col("y0") + F.col("h") / 2
     shape = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("x0", "y0", "w", "h")])
-    place = lambda x: [(105.8 + x / DEG).alias("cx"), (my / DEG).alias("cy")]
+    place = lambda x: [x.alias("mx"), my.alias("my"), (105.8 + x / DEG).alias("cx"), (my / DEG).alias("cy")]
     a = b.where("k % 10 <> 0").select(
         k.alias("bid"), F.when(k % 103 == 0, (k - 1).cast("string")).when(k % 101 != 0, k.cast("string")).alias("key"), *place(mx), (F.col("w") * F.col("h")).cast("double").alias("area"),
         shape.alias("gh"), (F.col("c") % 40).cast("double").alias("h"), F.lit(True).alias("real"), "price", (F.col("c") % 5).alias("cat"),
