@@ -59,11 +59,8 @@ def polygon_overlap(spark, sf_dir):
 
     @F.pandas_udf(T.StructType([T.StructField("inter", T.DoubleType()), T.StructField("joined", T.DoubleType())]))
     def areas(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, q in zip(a, b):
-            x, y = G.read_wkb(p), G.read_wkb(q)
-            rows.append((round(G.intersection(x, y)[0], 6), round(G.union(x, y)[0], 6)))
-        return pd.DataFrame(rows, columns=["inter", "joined"])
+        inter, joined = G.overlay_areas(a.to_list(), b.to_list(), lambda p, q: p & q, lambda p, q: p | q)
+        return pd.DataFrame({"inter": inter.round(6), "joined": joined.round(6)})
 
     a = osm_boxes(spark, sf_dir)
     near = box_join(a.select("id", "x0", "y0", "x1", "y1"), gob_boxes(spark, sf_dir).select("id", "x0", "y0", "x1", "y1"), 32.0)
