@@ -29,7 +29,8 @@ def box_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Se
 
 @F.pandas_udf(T.DoubleType())
 def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([G.intersection(G.read_wkb(p), G.read_wkb(q))[0] for p, q in zip(a, b)], dtype=float)
+    return pd.Series(G.intersection_areas(a.to_list(), b.to_list()))
+
 
 
 @F.pandas_udf(T.BooleanType())
