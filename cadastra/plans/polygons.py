@@ -32,6 +32,8 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(G.intersection_areas(a.to_list(), b.to_list()))
 
 
+overlap_area = overlap_area.asNondeterministic()  # else a filter on the area is put below its column, with a call of its own
+
 
 @F.pandas_udf(T.BooleanType())
 def holds(polygon: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
